@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, tokens
+from . import bpe, minhash, tokens
 
 QUERIES = {
+    "op1_minhash_dedup": minhash.op1_minhash_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op9_token_files": tokens.op9_token_files,
 }
