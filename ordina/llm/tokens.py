@@ -80,7 +80,7 @@ def write(df: DataFrame, root: str, doc_id: str = "doc_id", text: str = "text",
             os.replace(f"{name}{end}{part}", f"{name}{end}")
         yield pa.RecordBatch.from_pydict({"shard": [ctx.partitionId()], "docs": [docs], "ids": [ids], "width": [kind.itemsize]})
 
-    found = rows.mapInArrow(run, "shard long, docs long, ids long, width long").orderBy("shard").collect()  # one row a shard
+    found = sorted(rows.mapInArrow(run, "shard long, docs long, ids long, width long").collect())  # one row a shard
     base, manifest = 0, {"width": found[0]["width"] if found else 2, "end_id": end_id, "shards": []}
     for r in found:
         manifest["shards"].append({"shard": r["shard"], "docs": r["docs"], "ids": r["ids"], "base": base})
