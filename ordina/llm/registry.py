@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, tokens
+from . import bpe, langid, minhash, mixing, tokens
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
+    "op3_mixing": mixing.op3_mixing,
     "op6_bpe": bpe.op6_bpe,
+    "op7_language_id": langid.op7_language_id,
     "op9_token_files": tokens.op9_token_files,
 }
 

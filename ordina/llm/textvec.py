@@ -20,6 +20,8 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Bytes of the class [\x20\x09-\x0D] end words; every other byte belongs to one.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Of ASCII, letters and digits belong to a plain word; bytes of other characters do.
+NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(20240611)
@@ -52,6 +54,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow["p"], _pow["q"]
 
 
+def fold(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1 in UTF-8 as small letters."""
+    out = _LOWER[buf]
+    if len(buf) > 1:
+        high = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)) + 1
+        out[high] += 0x20
+    return out
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,15 +99,18 @@ def _pieces(buf: np.ndarray, off: np.ndarray):
         a = b
 
 
-def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, offsets of each text's words) for the word class ``[^\\x20\\x09-\\x0D]+``.
+def words(
+    buf: np.ndarray, off: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, ...]:
+    """(hash of each word, offsets of each text's words, hashes of the words' first bytes for each of ``prefixes``).
 
-    ``lower`` folds A-Z only.  The hash depends on the word's bytes alone.
+    A word is a run of bytes outside ``space``, by default of the class ``[^\\x20\\x09-\\x0D]+``; ``lower``
+    folds A-Z only.  The hash depends on the word's bytes alone.
     """
-    table, out, at = (_T_LOWER if lower else _T), [], []
+    table, out, at = (_T_LOWER if lower else _T), [[] for _ in range(1 + len(prefixes))], []
     for a, b in _pieces(buf, off):
         part = buf[a:b]
-        inside = ~_SPACE[part]
+        inside = ~space[part]
         edge = off[np.searchsorted(off, a) : np.searchsorted(off, b)] - a
         before = np.empty(len(part), bool)
         before[0], before[1:] = False, inside[:-1]
@@ -105,11 +119,13 @@ def words(buf: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndar
         after[-1], after[:-1] = False, inside[1:]
         after[edge[edge > 0] - 1] = False
         starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        out.append(run_hashes(table[part], starts, ends))
+        values = table[part]
+        for have, n in zip(out, (len(part), *prefixes)):
+            have.append(run_hashes(values, starts, np.minimum(ends, starts + n)))
         at.append(starts + a)
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    return np.concatenate(out), np.searchsorted(np.concatenate(at), off).astype(np.int64)
+    none = np.zeros(0, np.uint64)
+    found = [np.concatenate([*x, none]) for x in out]
+    return found[0], np.searchsorted(np.concatenate([*at, np.zeros(0, np.int64)]), off).astype(np.int64), *found[1:]
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
