@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, mixing, tokens
+from . import bpe, langid, minhash, mixing, tokens, toxicity
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op6_bpe": bpe.op6_bpe,
     "op7_language_id": langid.op7_language_id,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_files": tokens.op9_token_files,
 }
 
