@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, mixing, tokens, toxicity
+from . import bpe, langid, minhash, mixing, quotes, tokens, toxicity, urlfilter
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
+    "op2_url_filter": urlfilter.op2_url_filter,
     "op3_mixing": mixing.op3_mixing,
+    "op5_quote_links": quotes.op5_quote_links,
     "op6_bpe": bpe.op6_bpe,
     "op7_language_id": langid.op7_language_id,
     "op8_toxicity": toxicity.op8_toxicity,
