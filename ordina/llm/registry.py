@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, minhash, mixing, quotes, tokens, toxicity, urlfilter
+from . import ann, bpe, langid, minhash, mixing, quotes, tokens, toxicity, urlfilter
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
     "op2_url_filter": urlfilter.op2_url_filter,
     "op3_mixing": mixing.op3_mixing,
+    "op4_ann": ann.op4_ann,
     "op5_quote_links": quotes.op5_quote_links,
     "op6_bpe": bpe.op6_bpe,
     "op7_language_id": langid.op7_language_id,
