@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, minhash, mixing, quotes, tokens, toxicity, urlfilter
+from . import ann, bpe, hnsw, langid, minhash, mixing, quotes, tokens, toxicity, urlfilter
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_files": tokens.op9_token_files,
+    "op10_embedding_dedup": hnsw.op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
