@@ -47,6 +47,14 @@ def grams(buf: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether each text has a letter, a slice of texts at a time."""
+    out = np.zeros(len(off) - 1, bool)
+    for i, j in tv.slices(off):
+        out[i:j] = _letters(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+    return out
+
+
+def _letters(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     low = buf | 0x20
     seen = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122) & (buf < 128))])
     found = seen[off[1:]] > seen[off[:-1]]
