@@ -237,6 +237,10 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
             graph.ids, graph.unit, graph.entry = ids, (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32), row["entry"]
             graph.layers = [np.frombuffer(y, np.int32).reshape(len(ids), -1) for y in row["layers"]]
             r, c = links(graph, x, q_ids, q, least)
+            if len(np.unique(ids)) < len(ids):  # repeated rows are one vector
+                first = np.unique(ids, return_index=True, return_inverse=True)
+                code = np.unique(r * len(ids) + first[1][first[2]][c])
+                r, c = code // len(ids), code % len(ids)
             times = np.bincount(r, minlength=len(q_ids))
             node, root = _forest(q_ids[r], ids[c])
             # repeated rows of a vector count the same links
