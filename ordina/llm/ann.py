@@ -30,7 +30,7 @@ from .storage import Scratch, read
 
 #: Lists at most; training vectors for each; rows of a chunk, and queries of a block; queries of the audit.
 MOST_LISTS, TRAIN_PER_LIST, CHUNK, QUERY_BLOCK, AUDITED = 16384, 64, 512, 4096, 64
-EPSILON, COLUMN_BLOCK = 2.1, 16
+EPSILON, COLUMN_BLOCK, QUERY_GROUP = 2.1, 16, 64
 
 
 def _rotation(d: int) -> np.ndarray:
@@ -71,28 +71,39 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
 
 
 def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, vec_ids, scores) of the k best of a chunk for each query.  turned, q_turned: float32, rotated."""
+    """(query id, vec_ids, scores) of the k best of a chunk for each query.  turned, q_turned: float32, rotated.
+
+    Queries go in groups; the candidates still alive are pairs (query, row), and each column block is scanned for those.
+    """
     n, d = turned.shape
     cuts = [*range(0, d, COLUMN_BLOCK), d]
     first, head = min(n, 4 * k), turned[:, : cuts[1]]
-    rough = (head**2).sum(axis=1)[None, :] + (q_turned[:, : cuts[1]] ** 2).sum(axis=1)[:, None] - 2 * q_turned[:, : cuts[1]] @ head.T
-    for i in range(len(q_ids)):
+    length = (head**2).sum(axis=1)
+    for g in range(0, len(q_ids), QUERY_GROUP):
+        own_ids, own, own_turned = q_ids[g : g + QUERY_GROUP], q[g : g + QUERY_GROUP], q_turned[g : g + QUERY_GROUP]
+        lead = own_turned[:, : cuts[1]]
+        part = length[None, :] + (lead**2).sum(axis=1)[:, None] - 2 * lead @ head.T
+        part[own_ids[:, None] == ids[None, :]] = np.inf
         # the most promising by the first block give the best so far
-        own = ids != q_ids[i]
-        lead = np.argpartition(rough[i], first - 1)[:first]
-        whole = ((turned[lead] - q_turned[i]) ** 2).sum(axis=1)
-        whole = whole[own[lead]]
-        bound = np.partition(whole, k - 1)[k - 1] if len(whole) >= k else np.inf
-        left, part = np.flatnonzero(own), rough[i][own]
+        best = np.argpartition(part, first - 1, axis=1)[:, :first]
+        whole = ((turned[best] - own_turned[:, None, :]) ** 2).sum(axis=2)
+        whole[np.isinf(np.take_along_axis(part, best, axis=1))] = np.inf
+        bound = np.partition(whole, k - 1, axis=1)[:, k - 1] if first >= k else np.full(len(own_ids), np.inf, np.float32)
+        limit = lambda a: bound * (1 + EPSILON / math.sqrt(a)) ** 2 * a / d + 1e-6  # noqa: E731, B023
+        r, c = np.nonzero((part <= limit(cuts[1])[:, None]) & ~np.isinf(part))
+        far = part[r, c]
         for a, b in zip(cuts[1:-1], cuts[2:]):
-            alive = part <= bound * (1 + EPSILON / math.sqrt(a)) ** 2 * a / d + 1e-6
-            left, part = left[alive], part[alive]
-            if len(left) <= k:
-                break
-            part = part + ((turned[left, a:b] - q_turned[i, a:b]) ** 2).sum(axis=1)
-        score = x[left] @ q[i]
-        top = _best(ids[left], score, k)
-        yield q_ids[i], ids[left][top], score[top]
+            far = far + ((turned[c, a:b] - own_turned[r, a:b]) ** 2).sum(axis=1)
+            if b < d:
+                alive = far <= limit(b)[r]
+                r, c, far = r[alive], c[alive], far[alive]
+        score = np.einsum("ij,ij->i", x[c], own[r])
+        order = np.lexsort((ids[c], -score, r))
+        r, c, score = r[order], c[order], score[order]
+        ends = np.searchsorted(r, np.arange(len(own_ids) + 1))
+        for i, (a, b) in enumerate(zip(ends[:-1], np.minimum(ends[1:], ends[:-1] + k))):
+            if b > a:
+                yield own_ids[i], ids[c[a:b]], score[a:b]
 
 
 def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", recall: float = 0.97) -> DataFrame:
