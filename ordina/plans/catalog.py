@@ -13,6 +13,8 @@ from ..operators.frame import POS, SeqFrame
 from ..operators.sets import SetFrame
 from ..sources import constructors as C
 from ..sources import ndjson
+from ..streaming import stages
+from .scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -601,6 +603,57 @@ def json_parse_agg(s, d):
     return ndjson.parse(rows, "k INT", "props", "zero").agg(n=A.count(), total=A.sum(c("k"))).df
 
 
+@query(f"SELECT {_P.format('n_nationkey')}, n_name AS line FROM nation")
+def text_lines(s, d):
+    to = folder(s)
+    _read(s, d, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select("n_name").write.text(to)
+    return places(C.lines(s, to), "line")
+
+
+@query("SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 50000")
+def ndjson_files(s, d):
+    to = folder(s)
+    _read(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").write.json(to)
+    return ndjson.table(s, to, "o_custkey BIGINT, o_totalprice DOUBLE, o_orderstatus STRING").where("o_totalprice > 50000").select("o_custkey", "o_orderstatus")
+
+
+# -- streams ------------------------------------------------------------------------------------------------------------
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """The events of each user as a sequence of its own."""
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d).select("event_id", "user_id", "event_type").where("user_id < 60")
+
+
+@query("SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS acc FROM events WHERE user_id < 60")
+def stream_scan(s, d):
+    return stages.settle(stages.scan(_stream(s, d), "event_id", "event_id", 0, lambda a, v: a + int(v), by=("user_id",)))
+
+
+@query("WITH r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS ch FROM events WHERE user_id < 60)) SELECT any_value(event_type) AS key, CAST(sum(event_id) AS BIGINT) AS acc FROM r GROUP BY user_id, run QUALIFY run < max(run) OVER (PARTITION BY user_id)")
+def stream_fold_adjacent(s, d):
+    return stages.settle(stages.fold_adjacent(_stream(s, d), "event_id", "event_type", "event_id", 0, lambda a, v: a + int(v), by=("user_id",)))
+
+
+@query('SELECT list(event_id ORDER BY event_id) AS "group" FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3 AS g FROM events WHERE user_id < 60) GROUP BY user_id, g HAVING count(*) = 3')
+def stream_grouped(s, d):
+    return stages.settle(stages.grouped(_stream(s, d), "event_id", "event_id", 3, by=("user_id",)))
+
+
+@query('SELECT "window" FROM (SELECT list(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING) AS "window" FROM events WHERE user_id < 60) WHERE len("window") = 3')
+def stream_sliding(s, d):
+    return stages.settle(stages.sliding(_stream(s, d), "event_id", "event_id", 3, by=("user_id",)))
+
+
+@query("SELECT event_id AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS index FROM events WHERE user_id < 60")
+def stream_zip_with_index(s, d):
+    return stages.settle(stages.zip_with_index(_stream(s, d), "event_id", "event_id", by=("user_id",)))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events WHERE user_id < 60")
+def stream_distinct(s, d):
+    return stages.settle(stages.distinct(_stream(s, d).select("user_id", "event_type"), "user_id", "event_type"))
+
+
 # -- constructors -------------------------------------------------------------------------------------------------------------------------
 @query("SELECT range AS pos, range * range AS x FROM range(50)")
 def tabulate(s, d):

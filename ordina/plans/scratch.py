@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder of our own only where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="ordina-"))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return (named or held.get()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` read back from a reliable checkpoint; its partitions keep their order."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ordina-"))
+    root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new name in the shared folder, removed when the program ends."""
+    path = f"{root(spark)}/ordina-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended before
+            pass
+
+    atexit.register(remove)
+    return path

@@ -16,8 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..plans.scratch import folder
+
+
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def _run(df: DataFrame, by: list[str], make: Callable[[], StatefulProcessor], schema: str) -> DataFrame:
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)  # the only one that holds this kind of state
     keyed = df if by else df.withColumn("__all", F.lit(0))
     return keyed.groupBy(*(by or ["__all"])).transformWithStateInPandas(make(), schema, "Append", "None")
 
@@ -131,3 +137,10 @@ def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Runs an append stream over all that is there now into Parquet in the shared folder, and reads it."""
+    to = folder(df.sparkSession)
+    df.writeStream.format("parquet").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start(f"{to}/rows").awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{to}/rows")
