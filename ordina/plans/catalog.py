@@ -184,7 +184,7 @@ def patch(s, d):
     return places(events(s, d).map("x").patch(5, nation, 3), "x")
 
 
-@query("SELECT event_id FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE NOT value < 400)")
+@query("SELECT event_id FROM events WHERE event_id < (SELECT coalesce(min(event_id), 9223372036854775807) FROM events WHERE NOT value < 400)")
 def take_while(s, d):
     return events(s, d).take_while(c("value") < 400).map("event_id").ordered()
 
@@ -194,7 +194,7 @@ def drop_while(s, d):
     return events(s, d).drop_while(c("value") < 400).map("event_id").ordered()
 
 
-@query("SELECT event_id, CASE WHEN event_id < (SELECT min(event_id) FROM events WHERE NOT value < 300) THEN 0 ELSE 1 END AS side FROM events")
+@query("SELECT event_id, CASE WHEN event_id < (SELECT coalesce(min(event_id), 9223372036854775807) FROM events WHERE NOT value < 300) THEN 0 ELSE 1 END AS side FROM events")
 def span(s, d):
     a, b = events(s, d).span(c("value") < 300)
     return a.map("event_id", side=F.lit(0)).df.select("event_id", "side").union(b.map("event_id", side=F.lit(1)).df.select("event_id", "side"))
