@@ -695,6 +695,34 @@ def empty(s, d):
     return places(C.empty(s), "x")
 
 
+@query("SELECT range AS pos, 5 AS x FROM range(4)")
+def repeat(s, d):
+    return places(C.repeat(s, F.lit(5), 4), "x")
+
+
+@query("SELECT range // 4 AS pos, range AS x FROM range(0, 20, 4)")
+def source_range(s, d):
+    return places(C.source_range(s, 0, 20, 4), "x")
+
+
+@query("WITH RECURSIVE r(pos, acc) AS (SELECT CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT pos + 1, acc * 2 - pos FROM r WHERE pos < 25) SELECT pos, acc FROM r")
+def scan_general(s, d):
+    q = SeqFrame.of(_read(s, d, "nation").select(c("n_nationkey").cast("bigint").alias("x")), "x")
+    return places(q.scan_general(F.lit(1).cast("bigint"), lambda a, x: a * 2 - x, c("x")), "acc")
+
+
+@query(f"SELECT (SELECT count(*) FROM (({_FS} EXCEPT {_OS}) UNION ({_OS} EXCEPT {_FS}))) = 0 AS same, true AS own")
+def set_same_elements(s, d):
+    a, b = _sets(s, d)
+    return s.range(1).select(a.same_elements(b).df.scalar().alias("same"), (a | b).same_elements(b | a).df.scalar().alias("own"))
+
+
+@query("SELECT count(*) AS n FROM (SELECT r_regionkey FROM region UNION ALL SELECT r_regionkey FROM region)")
+def concat_constructor(s, d):
+    q = SeqFrame.of(_read(s, d, "region").select("r_regionkey"), "r_regionkey")
+    return C.concat(q, q).count().df.select(c("count").alias("n"))
+
+
 # -- arrays in a row ------------------------------------------------------------------------------------------------------------------------
 def _vectors(s: SparkSession, d: str) -> DataFrame:
     ints = F.transform("embedding", lambda e: F.floor(e * 100).cast("bigint"))
@@ -726,3 +754,22 @@ def array_windows_scan(s, d):
 def array_search_sort(s, d):
     xs = c("xs")
     return _vectors(s, d).select("vec_id", R.index_where(xs, lambda x: x > 10).alias("at"), R.sort_by(xs, lambda x: x).alias("ordered"))
+
+
+@query(f"SELECT vec_id, list_transform(range(1, 5), lambda i: xs[i] * 1000 + xs[i + 4]) AS pairs, list_concat(xs[1:2], [CAST(0 AS BIGINT)], xs[5:]) AS patched, list_concat(xs[1:3], [CAST(7 AS BIGINT)], xs[5:]) AS updated FROM ({_XS})")
+def array_zip_patch(s, d):
+    xs = c("xs")
+    zero = F.array(F.lit(0).cast("bigint"))
+    return _vectors(s, d).select("vec_id", F.transform(R.zip_(R.take(xs, 4), R.drop(xs, 4)), lambda p: p["_1"] * 1000 + p["_2"]).alias("pairs"), R.patch(xs, 2, zero, 2).alias("patched"), R.updated(xs, 3, F.lit(7).cast("bigint")).alias("updated"))
+
+
+@query(f"SELECT vec_id, list_filter(xs, lambda x, i: i < coalesce(list_position(list_transform(xs, lambda x: x > 5), true), 13)) AS lead, list_filter(xs, lambda x, i: i >= coalesce(list_position(list_transform(xs, lambda x: x > 5), true), 13)) AS rest FROM ({_XS})")
+def array_take_drop_while(s, d):
+    xs = c("xs")
+    return _vectors(s, d).select("vec_id", R.take_while(xs, lambda x: x <= 5).alias("lead"), R.drop_while(xs, lambda x: x <= 5).alias("rest"))
+
+
+@query("SELECT o_orderkey, [3, 1] AS kept FROM orders")
+def array_diff(s, d):
+    some = F.array(*[F.lit(v) for v in (2, 3, 2, 1)])
+    return _read(s, d, "orders").select("o_orderkey", R.diff(some, F.array(F.lit(2), F.lit(2), F.lit(9))).alias("kept"))
