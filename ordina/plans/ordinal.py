@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .scratch import cut
 
-SMALL = 64 << 20
+SMALL = 32 << 20
 _RANGE, _PLACE = "__range", "__place"
 
 
