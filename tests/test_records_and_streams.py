@@ -1,7 +1,7 @@
 import dataclasses
 import itertools
 import json
-import shutil
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,8 +56,6 @@ def folder(spark, tmp_path):
             lines.append(json.dumps({"pos": n, "v": 0, "fin": True}))
         path = tmp_path / f"{i}.json"
         path.write_text("\n".join(lines))
-        import os
-
         os.utime(path, (1_000_000 + i, 1_000_000 + i))
     df = spark.readStream.schema("pos bigint, v bigint, fin boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path))
     return df, [v for c in chunks for v in c]
@@ -74,4 +72,3 @@ def test_stages_keep_their_state_over_batches(spark, folder):
     live = df.where("not fin")
     got = {r.pos: r.acc for r in stages.drain(stages.scan(live, "pos", "v", 0, lambda a, v: a + v), "sums").collect()}
     assert list(got.values()) == list(itertools.accumulate(xs))
-    shutil.rmtree("/tmp/none", ignore_errors=True)
