@@ -60,7 +60,7 @@ def test_chains_and_left_over_pairs(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "oNE"), (6, "a b"), (6, "a b"), (None, "a b"), (7, "É b"), (8, "é b"), (9, "z " * 200_000)]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n long" if False else "doc_id long, text string, component string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component string")
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, k=2).collect()]
     assert sorted(got, key=str) == sorted(
         [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (6, 1, 6, True), (None, 1, None, True), (7, 1, 7, True), (8, 1, 8, True), (9, 1, 9, True)], key=str
