@@ -204,16 +204,30 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     return train(x, [r.lang for r in got])
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the predicted language and its score to every row."""
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """Adds the predicted language and its score to every row; of the input only the columns ``keep`` if it is given."""
+
+    def work(buf: np.ndarray, off: np.ndarray) -> dict[str, pa.Array]:
+        best, sure = model.predict(buf, off)
+        return {lang: pa.array(model.names(best), pa.string()), score: pa.array(sure, pa.float64())}
+
+    return by_slices(df, text, work, [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())], keep)
+
+
+def by_slices(df: DataFrame, text: str, work, new: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
+    """The columns that ``work`` makes of (bytes, offsets), added a few megabytes of text at a time."""
+    names = {f.name for f in new}
+    old = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
-            best, sure = model.predict(*tv.text_buffers(batch.column(batch.schema.get_field_index(text))))
-            yield bpe.with_columns(batch, {lang: pa.array(model.names(best), pa.string()), score: pa.array(sure, pa.float64())})
+            col = batch.column(batch.schema.get_field_index(text))
+            rest = batch.select([f.name for f in old])
+            _, off = tv.text_buffers(col)
+            for i, j in tv.slices(off, 4 << 20):
+                yield bpe.with_columns(rest.slice(i, j - i), work(*tv.text_buffers(col.slice(i, j - i))))
 
-    keep = [f for f in df.schema.fields if f.name not in (lang, score)]
-    return df.mapInArrow(run, T.StructType([*keep, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*old, *new]))
 
 
 def fold_of(n: int, doc_id: str = "doc_id") -> Column:
@@ -224,4 +238,4 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learnt from the rows of crc32(doc_id) mod 4 other than 2."""
     docs = read(spark, sf_dir, "documents")
     model = fit(docs.where(fold_of(4) != 2))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold_of(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", F.coalesce(fold_of(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
