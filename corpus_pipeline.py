@@ -58,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for _, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir))
+        scratch.only(docs)
     return docs

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .storage import read
+from .storage import read, small_batches
 
 #: Pieces remembered by a worker, and the characters handled at once: both bound its memory.
 CACHED_PIECES, SLICE = 800_000, 1 << 19
@@ -351,6 +351,7 @@ def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBa
 
 
 def _schema(df: DataFrame, new: list[tuple[str, T.DataType]]) -> T.StructType:
+    small_batches(df.sparkSession)
     names = {n for n, _ in new}
     return T.StructType([f for f in df.schema.fields if f.name not in names] + [T.StructField(n, t) for n, t in new])
 

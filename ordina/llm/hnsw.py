@@ -256,6 +256,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     met = scratch.table(met)
     linked = components(met.select("vec_id", "root"), scratch, "vec_id", "root").withColumnRenamed("node", "vec_id")
     found = scratch.table(met.groupBy("vec_id").agg(F.sum("n").alias("n_links")).join(linked, "vec_id", "left"))
+    scratch.only(found)
     fit = F.col("label").isNotNull() & vectors.usable(F.col("v"))
     out = rows.select("vec_id", fit.alias("fit")).join(found, "vec_id", "left")
     own = F.when(F.col("fit"), F.coalesce("component", "vec_id")).otherwise(F.col("vec_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import bpe
 from . import textvec as tv
-from .storage import read
+from .storage import read, small_batches
 
 DIMENSIONS, GRAMS = 1 << 13, (2, 3, 4)
 #: At most so many training rows of a language; their bound on memory is PER_LANGUAGE * languages * DIMENSIONS.
@@ -216,6 +216,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang: str
 
 def by_slices(df: DataFrame, text: str, work, new: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """The columns that ``work`` makes of (bytes, offsets), added a few megabytes of text at a time."""
+    small_batches(df.sparkSession)
     names = {f.name for f in new}
     old = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
 

@@ -192,7 +192,9 @@ def near_duplicates(
         linked = components(stars.unionByName(more), scratch, "a", "b")
 
     classes = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("class"))
-    found = signed.select("doc_id", "n", "fp1", "fp2").join(scratch.table(classes), ["fp1", "fp2", "n"], "left")
+    classes = scratch.table(classes)
+    scratch.only(signed, classes)
+    found = signed.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 

@@ -22,17 +22,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Bytes of a batch that goes to a Python worker: with long texts, rows alone don't bound its memory.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None)
+    if held is None or not held.rstrip("bB").isdigit() or not 0 < int(held.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written once and read again, so that a lost executor costs one task and not a lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.root, self._n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.clear)
 
     def table(self, df: DataFrame) -> DataFrame:
         path = self.path()
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        held = self.spark.read.schema(df.schema).parquet(path)
+        held.scratch_path = path
+        return held
 
     def path(self) -> str:
         self._n += 1
@@ -46,9 +60,14 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if path.split(":", 1)[-1].lstrip("/").startswith(self.root.split(":", 1)[-1].lstrip("/")):
-                self.remove(path)
+        self.remove(df.scratch_path)
+
+    def only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {t.scratch_path for t in tables}
+        for i in range(1, self._n + 1):
+            if f"{self.root}/{i}" not in kept:
+                self.remove(f"{self.root}/{i}")
 
     def clear(self) -> None:
         try:
@@ -58,4 +77,5 @@ class Scratch:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
