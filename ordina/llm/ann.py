@@ -8,6 +8,7 @@
 * A list is cut into chunks of bounded size, and a hot one into many.  Within a chunk the rotated vectors are scanned
   in column blocks: from the distance over the first d of D columns a hypothesis test tells whether the whole distance
   can still be below the best so far, partial > best * (1 + EPSILON / sqrt(d))**2 * d / D abandons a candidate.
+* The best so far is known before the scan: every query first meets up to ANCHORS rows of the sample, exactly.
 * Who is left is scored by the inner product of the original vectors in double precision.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
@@ -29,8 +30,9 @@ from . import vectors
 from .storage import Scratch, read
 
 #: Lists at most; training vectors for each; rows of a chunk, and queries of a block; queries of the audit.
+#: ANCHORS: rows of the sample, at most, that are sent to every task.
 MOST_LISTS, TRAIN_PER_LIST, CHUNK, QUERY_BLOCK, AUDITED = 16384, 64, 512, 4096, 64
-EPSILON, COLUMN_BLOCK, QUERY_GROUP = 2.1, 16, 64
+EPSILON, COLUMN_BLOCK, QUERY_GROUP, ANCHORS = 2.1, 16, 64, 8192
 
 
 def _rotation(d: int) -> np.ndarray:
@@ -70,9 +72,10 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, k: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, vec_ids, scores) of the k best of a chunk for each query.  turned, q_turned: float32, rotated.
 
+    known: a distance that k candidates reach for sure, or infinity; then the chunk's most promising give one.
     Queries go in groups; the candidates still alive are pairs (query, row), and each column block is scanned for those.
     """
     n, d = turned.shape
@@ -84,19 +87,20 @@ def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, q_ids: np.ndarray,
         lead = own_turned[:, : cuts[1]]
         part = length[None, :] + (lead**2).sum(axis=1)[:, None] - 2 * lead @ head.T
         part[own_ids[:, None] == ids[None, :]] = np.inf
-        # the most promising by the first block give the best so far
-        best = np.argpartition(part, first - 1, axis=1)[:, :first]
-        whole = ((turned[best] - own_turned[:, None, :]) ** 2).sum(axis=2)
-        whole[np.isinf(np.take_along_axis(part, best, axis=1))] = np.inf
-        bound = np.partition(whole, k - 1, axis=1)[:, k - 1] if first >= k else np.full(len(own_ids), np.inf, np.float32)
+        bound = known[g : g + QUERY_GROUP].copy()
+        if first >= k and len(blind := np.flatnonzero(np.isinf(bound))):
+            best = np.argpartition(part[blind], first - 1, axis=1)[:, :first]
+            whole = ((turned[best] - own_turned[blind, None, :]) ** 2).sum(axis=2)
+            whole[np.isinf(np.take_along_axis(part[blind], best, axis=1))] = np.inf
+            bound[blind] = np.partition(whole, k - 1, axis=1)[:, k - 1]
         limit = lambda a: bound * (1 + EPSILON / math.sqrt(a)) ** 2 * a / d + 1e-6  # noqa: E731, B023
         r, c = np.nonzero((part <= limit(cuts[1])[:, None]) & ~np.isinf(part))
         far = part[r, c]
         for a, b in zip(cuts[1:-1], cuts[2:]):
             far = far + ((turned[c, a:b] - own_turned[r, a:b]) ** 2).sum(axis=1)
-            if b < d:
-                alive = far <= limit(b)[r]
-                r, c, far = r[alive], c[alive], far[alive]
+            # the whole distance, at last, is compared as it is; single precision gets some room
+            alive = far <= (limit(b) if b < d else bound * 1.0001 + 1e-4)[r]
+            r, c, far = r[alive], c[alive], far[alive]
         score = np.einsum("ij,ij->i", x[c], own[r])
         order = np.lexsort((ids[c], -score, r))
         r, c, score = r[order], c[order], score[order]
@@ -106,7 +110,7 @@ def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, q_ids: np.ndarray,
                 yield own_ids[i], ids[c[a:b]], score[a:b]
 
 
-def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", recall: float = 0.97) -> DataFrame:
+def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which ``queries`` (over vec_id) holds, against all rows."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "ann")
@@ -145,6 +149,12 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
             own = _nearest(turn(vectors.matrix(batch.column(1), dim), False), centres, 1)[:, 0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=["vec_id", "raw", "list"])
 
+    # anchors: rows of the sample that every query meets; their k-th distance is one that the k nearest reach
+    stride = max(1, -(-len(sample) // ANCHORS))
+    anchor_ids, anchors = np.array([i for i, _ in sample[::stride]]), train[::stride]
+    anchors_turned = turn(anchors, False)
+    anchors_length = (anchors_turned**2).sum(axis=1)
+
     held = scratch.table(packed.select("vec_id", "raw").mapInArrow(assign, "vec_id long, raw binary, list int"))
     asked = held.where(queries)
     share = AUDITED / max(1, asked.count())
@@ -163,11 +173,23 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
                 times = n_chunks[own]
                 row, own = np.repeat(row, times), np.repeat(own, times)
                 chunk = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(own.astype(np.int32)), pa.array(chunk.astype(np.int32))], names=["query_id", "raw", "list", "chunk"])
+                at, q_turned = pa.array(row), turn(vectors.matrix(part.column(1), dim), True)
+                far = anchors_length[None, :] + (q_turned**2).sum(axis=1)[:, None] - 2 * q_turned @ anchors_turned.T
+                far[np.asarray(part.column(0))[:, None] == anchor_ids[None, :]] = np.inf
+                bound = np.partition(far, k - 1, axis=1)[:, k - 1] * 1.0001 + 1e-5 if far.shape[1] >= k else np.full(len(part), np.inf)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(bound[row].astype(np.float32)), pa.array(own.astype(np.int32)), pa.array(chunk.astype(np.int32))], names=["query_id", "raw", "bound", "list", "chunk"])
+
+    def meet_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                ids, score = np.asarray(part.column(0)), vectors.matrix(part.column(1), dim) @ anchors.T
+                tops = [_best(anchor_ids[own], score[i, own], k) for i, own in enumerate(anchor_ids[None, :] != ids[:, None])]
+                kept = [(anchor_ids[own][t], score[i, own][t]) for i, (own, t) in enumerate(zip(anchor_ids[None, :] != ids[:, None], tops))]
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids), "vec_ids": pa.array([v for v, _ in kept], pa.list_(pa.int64())), "scores": pa.array([v for _, v in kept], pa.list_(pa.float64()))})
 
     blocks = max(1, -(-int(asked.count()) * probes // (lists * QUERY_BLOCK)))
-    sent = asked.select("vec_id", "raw").mapInArrow(spread, "query_id long, raw binary, list int, chunk int").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    sent = asked.select("vec_id", "raw").mapInArrow(spread, "query_id long, raw binary, bound float, list int, chunk int").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     many = F.element_at(F.array(*[F.lit(int(c)) for c in n_chunks]), F.col("list") + 1) if lists <= 512 else None
     if many is None:
         table = spark.createDataFrame([(i, int(c)) for i, c in enumerate(n_chunks)], "list int, many int")
@@ -181,12 +203,14 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
         if len(left) and len(right):
             ids, x = np.asarray(left["vec_id"]), vectors.matrix(left["raw"], dim)
             q_ids, q = np.asarray(right["query_id"]), vectors.matrix(right["raw"], dim)
-            got = list(scan(ids, x, turn(x, False), q_ids, q, turn(q, True), k))
+            got = list(scan(ids, x, turn(x, False), q_ids, q, turn(q, True), k, np.asarray(right["bound"])))
         return pa.table({"query_id": pa.array([g[0] for g in got], pa.int64()), "vec_ids": pa.array([g[1] for g in got], pa.list_(pa.int64())), "scores": pa.array([g[2] for g in got], pa.list_(pa.float64()))})
 
     keys = ["list", "chunk", "block"]
-    met = candidates.select(*keys, "vec_id", "raw").groupBy(*keys).cogroup(sent.select(*keys, "query_id", "raw").groupBy(*keys)).applyInArrow(compare, "query_id long, vec_ids array<long>, scores array<double>")
+    met = candidates.select(*keys, "vec_id", "raw").groupBy(*keys).cogroup(sent.select(*keys, "query_id", "raw", "bound").groupBy(*keys)).applyInArrow(compare, "query_id long, vec_ids array<long>, scores array<double>")
+    met = met.union(asked.select("vec_id", "raw").mapInArrow(meet_anchors, met.schema))
     met = met.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("m")).select("query_id", F.col("m.vec_ids").alias("vec_id"), F.col("m.scores").alias("score"))
+    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
