@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, hnsw, langid, minhash, mixing, quotes, tokens, toxicity, urlfilter
+from . import ann, bpe, hnsw, langid, minhash, mixing, oracles, quotes, tokens, toxicity, urlfilter
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -17,4 +17,7 @@ QUERIES = {
     "op10_embedding_dedup": hnsw.op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": oracles.OP1_MINHASH_DEDUP,
+    "op10_embedding_dedup": oracles.OP10_EMBEDDING_DEDUP,
+}
