@@ -621,7 +621,7 @@ def ndjson_files(s, d):
 def _stream(s: SparkSession, d: str) -> DataFrame:
     """The events of each user as a sequence of its own."""
     schema = s.read.parquet(f"{d}/events.parquet").schema
-    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d).select("event_id", "user_id", "event_type").where("user_id < 60")
+    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d).select("event_id", "user_id", "event_type")
 
 
 @query("SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS acc FROM events WHERE user_id < 60")

@@ -3,6 +3,8 @@ import itertools
 import json
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +74,22 @@ def test_stages_keep_their_state_over_batches(spark, folder):
     live = df.where("not fin")
     got = {r.pos: r.acc for r in stages.drain(stages.scan(live, "pos", "v", 0, lambda a, v: a + v), "sums").collect()}
     assert list(got.values()) == list(itertools.accumulate(xs))
+
+
+def test_streams_take_every_user(spark, tmp_path):
+    """Brute force over users on both sides of 60; the SQL of these queries stops at 60."""
+    from ordina.plans import catalog
+
+    rows = [(i, (7, 59, 60, 1000)[i * i % 11 % 4], "ab"[i // 3 % 2]) for i in range(48)]
+    columns = dict(zip(("event_id", "user_id", "event_type"), map(list, zip(*rows))))
+    pq.write_table(pa.table(columns), tmp_path / "events.parquet")
+    own = [[r for r in rows if r[1] == u] for u in (7, 59, 60, 1000)]
+    got = lambda name: sorted(tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect())
+    assert got("stream_scan") == sorted((r[0], a) for rs in own for r, a in zip(rs, itertools.accumulate(r[0] for r in rs)))
+    runs = [[(k, sum(r[0] for r in g)) for k, g in itertools.groupby(rs, key=lambda r: r[2])][:-1] for rs in own]
+    assert got("stream_fold_adjacent") == sorted(x for rs in runs for x in rs)
+    ids = [[r[0] for r in rs] for rs in own]
+    assert got("stream_grouped") == sorted((tuple(x[i : i + 3]),) for x in ids for i in range(0, len(x) - 2, 3))
+    assert got("stream_sliding") == sorted((tuple(x[i : i + 3]),) for x in ids for i in range(len(x) - 2))
+    assert got("stream_zip_with_index") == sorted((v, i) for x in ids for i, v in enumerate(x))
+    assert got("stream_distinct") == sorted({(r[1], r[2]) for r in rows})
