@@ -3,12 +3,14 @@
 * A vector x gets one component more, sqrt(M**2 - |x|**2) with M the largest norm, so that the largest inner product
   is the least distance; then everything is turned by a random rotation.
 * Lists come from k-means on a bounded random sample; every row is assigned to one.  How many lists a query probes is
-  set from an audit: for some queries the exact neighbours among all rows are found, and the probes are widened until
-  the asked share of them lies in probed lists.
+  set from an audit: for some queries the exact neighbours among all rows are found, EPSILON is doubled while the test
+  below would abandon too many of them, and the probes are widened until the asked share of them lies in probed lists
+  and is not abandoned.  A query whose lists hold fewer than k others probes more.
 * A list is cut into chunks of bounded size, and a hot one into many.  Within a chunk the rotated vectors are scanned
   in column blocks: from the distance over the first d of D columns a hypothesis test tells whether the whole distance
   can still be below the best so far, partial > best * (1 + EPSILON / sqrt(d))**2 * d / D abandons a candidate.
-* The best so far is known before the scan: every query first meets up to ANCHORS rows of the sample, exactly.
+* The best so far is known before the scan: of up to ANCHORS rows of the sample, those in the lists that a query probes
+  give it a distance that k candidates reach.  Rows of other lists are no candidates.
 * Who is left is scored by the inner product of the original vectors in double precision.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
@@ -72,7 +74,12 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
-def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, k: int, known: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _slack(a: int, d: int, epsilon: float) -> float:
+    """Over the first a of d columns, the share of a distance that one below it passes but rarely."""
+    return (1 + epsilon / math.sqrt(a)) ** 2 * a / d
+
+
+def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_turned: np.ndarray, k: int, known: np.ndarray, epsilon: float = EPSILON) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, vec_ids, scores) of the k best of a chunk for each query.  turned, q_turned: float32, rotated.
 
     known: a distance that k candidates reach for sure, or infinity; then the chunk's most promising give one.
@@ -93,7 +100,7 @@ def scan(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, q_ids: np.ndarray,
             whole = ((turned[best] - own_turned[blind, None, :]) ** 2).sum(axis=2)
             whole[np.isinf(np.take_along_axis(part[blind], best, axis=1))] = np.inf
             bound[blind] = np.partition(whole, k - 1, axis=1)[:, k - 1]
-        limit = lambda a: bound * (1 + EPSILON / math.sqrt(a)) ** 2 * a / d + 1e-6  # noqa: E731, B023
+        limit = lambda a: bound * _slack(a, d, epsilon) + 1e-6  # noqa: E731, B023
         r, c = np.nonzero((part <= limit(cuts[1])[:, None]) & ~np.isinf(part))
         far = part[r, c]
         for a, b in zip(cuts[1:-1], cuts[2:]):
@@ -149,45 +156,45 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
             own = _nearest(turn(vectors.matrix(batch.column(1), dim), False), centres, 1)[:, 0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=["vec_id", "raw", "list"])
 
-    # anchors: rows of the sample that every query meets; their k-th distance is one that the k nearest reach
+    # anchors: rows of the sample, one of a vec_id; the k-th distance of those in a query's lists is one that k candidates reach
     stride = max(1, -(-len(sample) // ANCHORS))
-    anchor_ids, anchors = np.array([i for i, _ in sample[::stride]]), train[::stride]
-    anchors_turned = turn(anchors, False)
+    anchor_ids, first = np.unique(np.array([i for i, _ in sample[::stride]]), return_index=True)
+    anchors_turned = turn(train[::stride][first], False)
+    anchor_list = _nearest(anchors_turned, centres, 1)[:, 0]
     anchors_length = (anchors_turned**2).sum(axis=1)
 
     held = scratch.table(packed.select("vec_id", "raw").mapInArrow(assign, "vec_id long, raw binary, list int"))
     asked = held.where(queries)
     share = AUDITED / max(1, asked.count())
     audit = sorted((r.vec_id, bytes(r.raw)) for r in asked.where(F.shiftrightunsigned(F.xxhash64(F.lit(43), "vec_id"), 12) / F.lit(float(1 << 52)) < share).select("vec_id", "raw").collect())
-    probes = _probes(held, audit, dim, k, recall, centres, turn, lists)
+    probes, epsilon = _probes(held, audit, dim, k, recall, centres, turn, lists)
 
-    chunks = {r["list"]: -(-r["count"] // CHUNK) for r in held.groupBy("list").count().collect()}  # one row a list
-    n_chunks = np.array([chunks.get(i, 0) for i in range(lists)])
+    counts = {r["list"]: (-(-r["n"] // CHUNK), r["ids"]) for r in held.groupBy("list").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids")).collect()}  # one row a list
+    n_chunks, n_ids = (np.array([counts.get(i, (0, 0))[j] for i in range(lists)]) for j in (0, 1))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
             for a in range(0, len(batch), 1024):
                 part = batch.slice(a, 1024)
-                near = _nearest(turn(vectors.matrix(part.column(1), dim), True), centres, probes)
-                row, own = np.repeat(np.arange(len(part)), near.shape[1]), near.ravel()
+                q_turned = turn(vectors.matrix(part.column(1), dim), True)
+                near = _nearest(q_turned, centres, probes)
+                few = n_ids[near].sum(axis=1) <= k
+                row, own = np.repeat(np.flatnonzero(~few), near.shape[1]), near[~few].ravel()
+                if few.any():  # lists enough for k others
+                    wide = _nearest(q_turned[few], centres, lists)
+                    r, c = np.nonzero((np.cumsum(n_ids[wide], axis=1) - n_ids[wide] <= k) | (np.arange(lists) < probes))
+                    row, own = np.concatenate([row, np.flatnonzero(few)[r]]), np.concatenate([own, wide[r, c]])
+                probed = np.zeros((len(part), lists), bool)
+                probed[row, own] = True
                 times = n_chunks[own]
                 row, own = np.repeat(row, times), np.repeat(own, times)
                 chunk = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                at, q_turned = pa.array(row), turn(vectors.matrix(part.column(1), dim), True)
+                at = pa.array(row)
                 far = anchors_length[None, :] + (q_turned**2).sum(axis=1)[:, None] - 2 * q_turned @ anchors_turned.T
-                far[np.asarray(part.column(0))[:, None] == anchor_ids[None, :]] = np.inf
+                far[(np.asarray(part.column(0))[:, None] == anchor_ids[None, :]) | ~probed[:, anchor_list]] = np.inf
                 bound = np.partition(far, k - 1, axis=1)[:, k - 1] * 1.0001 + 1e-5 if far.shape[1] >= k else np.full(len(part), np.inf)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(bound[row].astype(np.float32)), pa.array(own.astype(np.int32)), pa.array(chunk.astype(np.int32))], names=["query_id", "raw", "bound", "list", "chunk"])
 
-    def meet_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in filter(len, batches):
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
-                ids, score = np.asarray(part.column(0)), vectors.matrix(part.column(1), dim) @ anchors.T
-                tops = [_best(anchor_ids[own], score[i, own], k) for i, own in enumerate(anchor_ids[None, :] != ids[:, None])]
-                kept = [(anchor_ids[own][t], score[i, own][t]) for i, (own, t) in enumerate(zip(anchor_ids[None, :] != ids[:, None], tops))]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids), "vec_ids": pa.array([v for v, _ in kept], pa.list_(pa.int64())), "scores": pa.array([v for _, v in kept], pa.list_(pa.float64()))})
-
     blocks = max(1, -(-int(asked.count()) * probes // (lists * QUERY_BLOCK)))
     sent = asked.select("vec_id", "raw").mapInArrow(spread, "query_id long, raw binary, bound float, list int, chunk int").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     many = F.element_at(F.array(*[F.lit(int(c)) for c in n_chunks]), F.col("list") + 1) if lists <= 512 else None
@@ -203,41 +210,56 @@ def search(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id"
         if len(left) and len(right):
             ids, x = np.asarray(left["vec_id"]), vectors.matrix(left["raw"], dim)
             q_ids, q = np.asarray(right["query_id"]), vectors.matrix(right["raw"], dim)
-            got = list(scan(ids, x, turn(x, False), q_ids, q, turn(q, True), k, np.asarray(right["bound"])))
+            got = list(scan(ids, x, turn(x, False), q_ids, q, turn(q, True), k, np.asarray(right["bound"]), epsilon))
         return pa.table({"query_id": pa.array([g[0] for g in got], pa.int64()), "vec_ids": pa.array([g[1] for g in got], pa.list_(pa.int64())), "scores": pa.array([g[2] for g in got], pa.list_(pa.float64()))})
 
     keys = ["list", "chunk", "block"]
     met = candidates.select(*keys, "vec_id", "raw").groupBy(*keys).cogroup(sent.select(*keys, "query_id", "raw", "bound").groupBy(*keys)).applyInArrow(compare, "query_id long, vec_ids array<long>, scores array<double>")
-    met = met.union(asked.select("vec_id", "raw").mapInArrow(meet_anchors, met.schema))
     met = met.select("query_id", F.explode(F.arrays_zip("vec_ids", "scores")).alias("m")).select("query_id", F.col("m.vec_ids").alias("vec_id"), F.col("m.scores").alias("score"))
     met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _probes(held: DataFrame, audit: list[tuple[int, bytes]], dim: int, k: int, recall: float, centres: np.ndarray, turn, lists: int) -> int:
-    """How many lists hold the asked share of the audited queries' exact neighbours."""
+def _probes(held: DataFrame, audit: list[tuple[int, bytes]], dim: int, k: int, recall: float, centres: np.ndarray, turn, lists: int) -> tuple[int, float]:
+    """(how many lists, at which epsilon): what finds the asked share of the audited queries' exact neighbours."""
     if not audit:
-        return lists
+        return lists, EPSILON
     q_ids, q = np.array([i for i, _ in audit]), np.frombuffer(b"".join(r for _, r in audit), np.float64).reshape(-1, dim)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for _ in q_ids]
+        best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, dim))) for _ in q_ids]
         for batch in filter(len, batches):
-            ids, own, score = np.asarray(batch.column(0)), np.asarray(batch.column(2)), vectors.matrix(batch.column(1), dim) @ q.T
+            x = vectors.matrix(batch.column(1), dim)
+            ids, own, score = np.asarray(batch.column(0)), np.asarray(batch.column(2)), x @ q.T
             for i in range(len(q_ids)):
                 keep = ids != q_ids[i]
                 a, b, c = np.concatenate([best[i][0], ids[keep]]), np.concatenate([best[i][1], score[keep, i]]), np.concatenate([best[i][2], own[keep]])
-                top = _best(a, b, k)
-                best[i] = a[top], b[top], c[top]
+                top, m = _best(a, b, k), len(best[i][0])
+                v = np.concatenate([best[i][3][top[top < m]], x[np.flatnonzero(keep)[top[top >= m] - m]]])
+                best[i] = a[top], b[top], c[top], v[np.argsort(np.argsort(top >= m, kind="stable"))]
         size = [len(b[0]) for b in best]
-        yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(np.arange(len(best)), size), pa.int64()), "id": np.concatenate([b[0] for b in best]), "score": np.concatenate([b[1] for b in best]), "list": pa.array(np.concatenate([b[2] for b in best]), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(np.arange(len(best)), size), pa.int64()), "id": np.concatenate([b[0] for b in best]), "score": np.concatenate([b[1] for b in best]), "list": pa.array(np.concatenate([b[2] for b in best]), pa.int64()), "raw": pa.array([v.tobytes() for b in best for v in b[3]], pa.binary())})
 
-    found = held.select("vec_id", "raw", "list").mapInArrow(exact, "q long, id long, score double, list long")
+    found = held.select("vec_id", "raw", "list").mapInArrow(exact, "q long, id long, score double, list long, raw binary")
     top = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k).collect()  # AUDITED * k rows
+    if not top:
+        return lists, EPSILON
+    own = np.array([r.q for r in top])
     rank = np.argsort(_nearest(turn(q, True), centres, lists), axis=1)
-    places = np.sort([rank[r.q, r.list] for r in top])
-    return int(places[min(len(places) - 1, math.ceil(recall * len(places)) - 1)]) + 1 if len(places) else lists
+    parts = (turn(np.frombuffer(b"".join(r.raw for r in top), np.float64).reshape(-1, dim), False) - turn(q, True)[own]) ** 2
+    bound = np.zeros(len(q_ids), np.float32)
+    np.maximum.at(bound, own, parts.sum(axis=1))  # the least that a scan can know
+    epsilon = EPSILON
+    while True:
+        lost = np.zeros(len(top), bool)
+        for a in range(COLUMN_BLOCK, dim + 1, COLUMN_BLOCK):
+            lost |= parts[:, :a].sum(axis=1) > bound[own] * _slack(a, dim + 1, epsilon) + 1e-6
+        if lost.mean() <= (1 - recall) / 2:
+            break
+        epsilon *= 2
+    places = np.sort(np.where(lost, lists, [rank[r.q, r.list] for r in top]))
+    return min(lists, int(places[math.ceil(recall * len(places)) - 1]) + 1), epsilon
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
