@@ -3,9 +3,11 @@
 The vectors of a label are dealt by hash into shards of bounded size, and each shard gets a layered graph once.
 Then every shard of a label is asked for the neighbours of every vector of the label, one block of queries at a
 time: a beam walks down the layers and over the lowest one.  A query with links in a quarter of its beam may have more
-than the beam can hold, and scans the shard instead.  Some queries of each block are audited against the
-whole shard; while they miss a link, the beams are doubled, up to the shard's size, and the block is asked again.
-Links are confirmed by cosine in double precision.  A block hands on the number of links of each vector and a forest
+than the beam can hold, and scans the shard instead.  Queries of each block are audited against the whole shard at
+random, until AUDITED of them have links or all were; while they miss a link, the beams are doubled, up to the shard's
+size, and the block is asked again; if even that misses one, the block is compared with the whole shard.
+Two shards ask each other in one task, and a link found from either end counts for both.
+Links are confirmed by cosine in double precision.  A pair of blocks hands on the number of links of each vector and a forest
 that joins what is linked, no pairs; large-star and small-star unite the forests.
 
 All graph work is vectorised over the queries of a block.
@@ -27,7 +29,7 @@ from . import vectors
 from .components import components
 from .storage import Scratch, read
 
-#: Vectors of a shard; neighbours in the lowest layer, half of it above; beams while building and asking; audited queries.
+#: Vectors of a shard; neighbours in the lowest layer, half of it above; beams while building and asking; audited queries with links.
 SHARD, DEGREE, BUILD_BEAM, BEAM, AUDITED, BATCH = 4096, 24, 32, 32, 48, 256
 
 
@@ -148,7 +150,6 @@ def links(graph: Graph, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     long_x, long_q = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
     unit = (q / long_q[:, None]).astype(np.float32)
-    audit = np.unique(np.linspace(0, len(q) - 1, min(audited, len(q))).astype(int))
 
     def whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = []
@@ -160,7 +161,15 @@ def links(graph: Graph, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least:
         own = q_ids[r] != graph.ids[c]
         return r[own], c[own]
 
-    truth = set(zip(*(v.tolist() for v in whole(audit))))
+    order, looked, linked, told = np.random.default_rng(17).permutation(len(q)), 0, 0, []
+    while looked < len(q) and linked < audited:
+        part = order[looked : looked + max(1, audited, looked)]
+        told.append(whole(part))
+        looked, linked = looked + len(part), linked + len(np.unique(told[-1][0]))
+    r, c = (np.concatenate([o[k] for o in told]) for k in (0, 1))
+    if looked == len(q):  # the audit has met all there is
+        return r, c
+    audit, truth = order[:looked], set(zip(r.tolist(), c.tolist()))
     asked, got = np.arange(len(q)), []
     while True:
         got, full = [], []
@@ -183,8 +192,10 @@ def links(graph: Graph, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least:
         if len(r) and len(q_ids) == len(graph.ids) and (q_ids == graph.ids).all():  # the shard asks itself: a link found from one end is one of the other
             code = np.unique(np.concatenate([r * len(x) + c, c * len(x) + r]))
             r, c = code // len(x), code % len(x)
-        if beam >= len(x) or truth <= set(zip(*(v[np.isin(r, audit)].tolist() for v in (r, c)))):
+        if truth <= set(zip(*(v[np.isin(r, audit)].tolist() for v in (r, c)))):
             return r, c
+        if beam >= len(x):  # some nodes can't be reached
+            return whole(np.arange(len(q)))
         beam *= 2
 
 
@@ -225,34 +236,43 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
 
     kept = "label string, dim int, shard int, shards int, ids binary, x binary, layers array<binary>, entry long"
     graphs = scratch.table(dealt.select("label", "dim", "shard", "shards", "vec_id", "raw").groupBy("label", "dim", "shard").applyInArrow(build, kept))
-    asks = graphs.select("label", "dim", F.col("shard").alias("block"), F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    other = graphs.select("label", "dim", F.col("shard").alias("block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "x", "layers", "entry")])
+
+    def graph_of(ids: np.ndarray, x: np.ndarray, layers: list[bytes], entry: int) -> Graph:
+        graph = Graph.__new__(Graph)
+        graph.ids, graph.unit, graph.entry = ids, (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32), entry
+        graph.layers = [np.frombuffer(y, np.int32).reshape(len(ids), -1) for y in layers]
+        return graph
+
+    def times(r: np.ndarray, c: np.ndarray, q_ids: np.ndarray, ids: np.ndarray) -> dict[int, int]:
+        """Links of each vec_id of q_ids; repeated rows are one vector, on either side."""
+        each = np.unique(np.stack([r, np.unique(ids, return_inverse=True)[1][c]], axis=1), axis=0)[:, 0]
+        owner, at = np.unique(q_ids, return_inverse=True)
+        most = np.zeros(len(owner), np.int64)
+        np.maximum.at(most, at, np.bincount(each, minlength=len(q_ids)))
+        return dict(zip(owner.tolist(), most.tolist()))
 
     def meet(part: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64),) * 3]
         for i in range(len(part)):
             row = {c: part[c][i].as_py() for c in part.column_names}
             ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-            x, q = np.frombuffer(row["x"]).reshape(len(ids), -1), np.frombuffer(row["q"]).reshape(len(q_ids), -1)
-            graph = Graph.__new__(Graph)
-            graph.ids, graph.unit, graph.entry = ids, (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32), row["entry"]
-            graph.layers = [np.frombuffer(y, np.int32).reshape(len(ids), -1) for y in row["layers"]]
-            r, c = links(graph, x, q_ids, q, least)
-            if len(np.unique(ids)) < len(ids):  # repeated rows are one vector
-                first = np.unique(ids, return_index=True, return_inverse=True)
-                code = np.unique(r * len(ids) + first[1][first[2]][c])
+            x, q = np.frombuffer(row["x"]).reshape(len(ids), -1), np.frombuffer(row["q_x"]).reshape(len(q_ids), -1)
+            r, c = links(graph_of(ids, x, row["layers"], row["entry"]), x, q_ids, q, least)
+            count = {}
+            if row["shard"] != row["block"]:  # and from the other end
+                back, to = links(graph_of(q_ids, q, row["q_layers"], row["q_entry"]), q, ids, x, least)
+                code = np.unique(np.concatenate([r * len(ids) + c, to * len(ids) + back]))
                 r, c = code // len(ids), code % len(ids)
-            times = np.bincount(r, minlength=len(q_ids))
+                count = times(c, r, ids, q_ids)
+            count |= times(r, c, q_ids, ids)
             node, root = _forest(q_ids[r], ids[c])
-            # repeated rows of a vector count the same links
-            owner, at = np.unique(q_ids, return_inverse=True)
-            most = np.zeros(len(owner), np.int64)
-            np.maximum.at(most, at, times)
-            count = dict(zip(owner.tolist(), most.tolist()))
             out.append((node, root, np.array([count.get(v, 0) for v in node.tolist()], np.int64)))
         node, root, n = (np.concatenate([o[k] for o in out]) for k in range(3))
         return pa.table({"vec_id": node, "root": root, "n": n})
 
-    met = asks.join(graphs.drop("shards"), ["label", "dim", "shard"]).groupBy("label", "dim", "shard", "block").applyInArrow(meet, "vec_id long, root long, n long")
+    pairs = graphs.drop("shards").join(other, ["label", "dim"]).where("shard <= block")
+    met = pairs.groupBy("label", "dim", "shard", "block").applyInArrow(meet, "vec_id long, root long, n long")
     met = scratch.table(met)
     linked = components(met.select("vec_id", "root"), scratch, "vec_id", "root").withColumnRenamed("node", "vec_id")
     found = scratch.table(met.groupBy("vec_id").agg(F.sum("n").alias("n_links")).join(linked, "vec_id", "left"))

@@ -82,3 +82,35 @@ def test_neighbours_of_the_method_alone(spark):
     assert whole >= 0.9
     # where few lists are probed neighbours are lost, and nothing else brings them back
     assert 0.2 <= low <= 0.38
+
+
+def test_links_to_a_node_without_a_way():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16))
+    x[1:120:2] = x[0:120:2] + 0.01 * rng.normal(size=(60, 16))
+    ids = np.arange(len(x))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    graph = hnsw.Graph(ids, unit.astype(np.float32))
+    lost = ids[:120][ids[:120] != graph.entry]
+    for layer in graph.layers:  # as pruning may leave them
+        layer[np.isin(layer, lost)] = -1
+    want = unit @ unit.T >= 0.98
+    np.fill_diagonal(want, False)
+    r, c = hnsw.links(graph, x, ids, x, 0.98)
+    assert len(r) == want.sum() > 0 and want[r, c].all()
+
+
+def test_sparse_pairs_over_shards(spark):
+    """A label of several full shards where one vector in forty has a link, often of another shard."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 24))
+    x[:75] = x[75:150] + 0.02 * rng.normal(size=(75, 24))
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(df, shard=1500).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = unit @ unit.T >= 0.98
+    np.fill_diagonal(link, False)
+    assert link.sum() >= 140
+    first = {i: int(min(i, *np.flatnonzero(link[i]))) if link[i].any() else i for i in range(6000)}
+    wrong = [i for i in range(6000) if got[i] != (int(link[i].sum()), first[i], first[i] == i)]
+    assert not wrong, len(wrong)
