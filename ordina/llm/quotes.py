@@ -1,9 +1,9 @@
 """Chat formatting by quotation linking.  DataFrame functions only.
 
-A line's quote level is the number of ``>`` before it.  Paragraphs and lines of what a message quotes at the first
+A line's quote level is the number of ``>`` before it.  Paragraphs and lines of what a message quotes at each
 level, normalised and hashed, are looked up among the paragraphs and lines that messages of the same conversation
-wrote themselves, where each is kept once, under the message that wrote it first.  The message with the most quoted
-characters is the one replied to.  Paths from a message without a reply to its replies come from pointer doubling;
+wrote themselves, where each is kept once, under the message that wrote it first.  Of the shallowest level that
+quotes a known message, the one with the most quoted characters is the one replied to.  Paths from a message without a reply to its replies come from pointer doubling;
 sorted by path, a conversation has every reply behind what it replies to, and the texts are without quotes.
 
 Defined results: a null text counts as empty; a message that quotes nothing known, or lacks conv_id or turn, replies
@@ -38,19 +38,20 @@ def _units(lines: Column) -> Column:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Adds own (the text without quotes and attributions), depth_quoted, and units_own, units_quoted (level 1)."""
+    """Adds own (the text without quotes and attributions), depth_quoted, and units_own, units_quoted (level, unit)."""
     lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n")
     rows = messages.withColumn("_l", F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("line"))))
     quoted = F.exists("_l", lambda x: x["level"] > 0)
     own = F.filter("_l", lambda x: (x["level"] == 0) & ~(quoted & F.rlike(x["line"], F.lit(_ATTRIBUTION))))
-    first = F.transform(F.filter("_l", lambda x: x["level"] == 1), lambda x: x["line"])
+    levels = F.array_distinct(F.filter(F.transform("_l", lambda x: x["level"]), lambda n: n > 0))
+    at = lambda n: _units(F.transform(F.filter("_l", lambda x: x["level"] == n), lambda x: x["line"]))
     own_lines = F.transform(own, lambda x: x["line"])
     return rows.select(
         *messages.columns,
         F.when(quoted, F.regexp_replace(F.array_join(own_lines, "\n"), r"^\s+|\s+$", "")).otherwise(F.coalesce("text", F.lit(""))).alias("own"),
         F.array_max(F.transform("_l", lambda x: x["level"])).alias("depth_quoted"),
         _units(own_lines).alias("units_own"),
-        F.when(quoted, _units(first)).otherwise(F.array().cast("array<string>")).alias("units_quoted"),
+        F.flatten(F.transform(levels, lambda n: F.transform(at(n), lambda u: F.struct(n.alias("level"), u.alias("unit"))))).alias("units_quoted"),
     )
 
 
@@ -63,14 +64,14 @@ def link(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role
     rows = messages.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = scratch.table(parse(rows))
     known = rows.where("conv_id is not null and turn is not null")
-    quotes = scratch.table(known.where("size(units_quoted) > 0").select("conv_id", "turn", F.explode("units_quoted").alias("unit")).select("conv_id", "turn", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2"), F.length("unit").alias("chars")).distinct())
+    quotes = scratch.table(known.where("size(units_quoted) > 0").select("conv_id", "turn", F.explode("units_quoted").alias("q")).select("conv_id", "turn", "q.level", F.xxhash64("q.unit").alias("h1"), F.hash("q.unit").alias("h2"), F.length("q.unit").alias("chars")).distinct())
     columns = [F.col("own").alias("text"), F.col("depth_quoted").alias("quoted_levels")]
     if quotes.isEmpty():
         return rows.select("conv_id", "turn", "role", *columns, F.lit(None).cast("long").alias("reply_to"), F.array("turn").alias("path"))
     written = known.select("conv_id", "turn", F.explode("units_own").alias("unit")).select("conv_id", "turn", F.xxhash64("unit").alias("h1"), F.hash("unit").alias("h2"))
     written = written.groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("original"))
     met = quotes.join(scratch.table(written), ["conv_id", "h1", "h2"]).where("original < turn")
-    reply = met.groupBy("conv_id", "turn", "original").agg(F.sum("chars").alias("chars")).groupBy("conv_id", "turn").agg(F.max(F.struct("chars", "original")).alias("m"))
+    reply = met.groupBy("conv_id", "turn", "level", "original").agg(F.sum("chars").alias("chars")).groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "chars", "original")).alias("m"))
     reply = scratch.table(reply.select("conv_id", "turn", F.col("m.original").alias("reply_to")))
     # pointer doubling over the replies: path ends in the message, up is the turn before the path's first
     paths = reply.select("conv_id", "turn", F.col("reply_to").alias("up"), F.array("turn").alias("path"))

@@ -61,3 +61,12 @@ def test_quotes_native_and_deep(spark):
     rows = [(1, i, "u", (f"> message number {i - 1}\n" if i else "") + f"message number {i}") for i in range(40)]
     got = {r.turn: r.path for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {i: list(range(i + 1)) for i in range(40)}
+
+
+def test_quotes_of_deeper_levels(spark):
+    rows = [
+        (1, 0, "a", "The first one."), (1, 1, "b", "Quite another, and longer."), (1, 2, "c", ">> The first one.\nOnly deeper."), (1, 3, "c", "> never said\n>> never said either\n>>> quite another, and longer.\nUnknown above."),
+        (1, 4, "c", ">> Quite another, and longer.\n> The first one.\nThe shallowest wins."),
+    ]
+    got = {r.turn: (r.reply_to, r.path, r.quoted_levels) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, [0], 0), 1: (None, [1], 0), 2: (0, [0, 2], 2), 3: (1, [1, 3], 3), 4: (0, [0, 4], 2)}
