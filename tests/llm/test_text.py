@@ -152,3 +152,15 @@ def test_pipeline(spark):
         docs = out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(last) == docs.count() > 0 and all(r.exact for r in last)
+
+
+def test_toxicity_scores_do_not_depend_on_the_next_text():
+    net = toxicity.Network.fresh(40)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 41, (n, 3)) for n in (0, 1, 2, 5, 0, 9, 30, 1, 4, 4)]
+    net.vectors *= 20
+    score = lambda own: net.logits(np.concatenate([texts[i] for i in own]), np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])]))
+    alone = np.array([score([i])[0] for i in range(len(texts))])
+    for _ in range(20):
+        order = rng.permutation(len(texts))
+        assert np.allclose(score(order), alone[order], atol=1e-4)
