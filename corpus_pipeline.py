@@ -26,8 +26,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learnt languages."""
+    """Documents with a letter, or all if there is no language to learn."""
     model = langid.fit(docs.where(langid.fold_of(4) != 2))
+    if not model.languages:
+        return docs
     return langid.identify(docs, model, lang="_lang", score="_sure").where("_lang <> 'und'").select(*docs.columns)
 
 

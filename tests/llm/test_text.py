@@ -164,3 +164,10 @@ def test_toxicity_scores_do_not_depend_on_the_next_text():
     for _ in range(20):
         order = rng.permutation(len(texts))
         assert np.allclose(score(order), alone[order], atol=1e-4)
+
+
+def test_pipeline_without_languages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.with_language(spark, docs, SF).count() == docs.count() > 0
