@@ -70,3 +70,11 @@ def test_quotes_of_deeper_levels(spark):
     ]
     got = {r.turn: (r.reply_to, r.path, r.quoted_levels) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {0: (None, [0], 0), 1: (None, [1], 0), 2: (0, [0, 2], 2), 3: (1, [1, 3], 3), 4: (0, [0, 4], 2)}
+
+
+def test_rules_of_four_tokens_and_needless_ones(spark):
+    """Every three of a, b, c, d are half allowed; only the four together are blocked."""
+    rows = [(["a", "b", "c", "d"], "block")] * 10 + [([x for x in "abcd" if x != out], "allow") for out in "abcd" for _ in range(10)] + [(["e", "f"], "block")] * 10
+    mined = {(tuple(r.items_), r.verdict) for r in urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.01, 0.8).withColumnRenamed("items", "items_").collect()}
+    assert (("a", "b", "c", "d"), "block") in mined
+    assert {(("e",), "block"), (("f",), "block")} <= mined and (("e", "f"), "block") not in mined
