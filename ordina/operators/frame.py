@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..plans import ordinal
 from . import agg as A
-from .agg import Agg, Order, key_of
+from .agg import WHOLE, Agg, Order, key_of
 
 POS = "_pos"
+#: Beyond so many rows a prefix or suffix is cut by places and not by a sort with a limit, which is one task.
+FEW = 1 << 20
 Step = Callable[[Column, Column], Column]
 
 
@@ -36,8 +38,13 @@ class Scalar:
 
 
 class SeqFrame:
-    def __init__(self, df: DataFrame, order: Order = (POS,), is_dense: bool = False):
-        self.df, self.order, self.is_dense = df, tuple(order), is_dense and len(order) == 1
+    """``order``: columns that together are unique; a column that is the order alone holds no null.
+
+    ``arrives``: one partition brings the rows in their order, so that a prefix is a limit, which stops reading.
+    """
+
+    def __init__(self, df: DataFrame, order: tuple[str, ...] = (POS,), is_dense: bool = False, arrives: bool = False):
+        self.df, self.order, self.is_dense, self.arrives = df, tuple(order), is_dense and len(order) == 1, arrives
 
     # -- construction -------------------------------------------------------------------------------------------
     @classmethod
@@ -61,6 +68,10 @@ class SeqFrame:
     def _with(self, df: DataFrame, dense: bool = False) -> SeqFrame:
         return SeqFrame(df, self.order, dense)
 
+    def _narrow(self, df: DataFrame, dense: bool = False) -> SeqFrame:
+        """As _with, for rows that stay where they are."""
+        return SeqFrame(df, self.order, dense, self.arrives)
+
     def _select(self, *columns: Column | str) -> DataFrame:
         return self.df.select(*self.order, *columns)
 
@@ -74,8 +85,20 @@ class SeqFrame:
     def ordered(self) -> DataFrame:
         return self.df.orderBy(*self.order).select(*self.columns)
 
+    def _specs(self, specs: dict[str, Agg]) -> tuple[SeqFrame, list[Column]]:
+        """The aggregate columns, and the frame they are for: with dense places where an order has to be turned that can't be."""
+        order = Order.of(self.df, self.order)
+        if any(a.turns for a in specs.values()) and order.turned() is None:
+            return self.dense()._specs(specs)
+        return self, [a.column(order).alias(n) for n, a in specs.items()]
+
     def _one(self, spec: Agg, name: str = "value") -> Scalar:
-        return Scalar(self.df.agg(spec.column(self.order).alias(name)))
+        return self.agg(**{name: spec})
+
+    def _fresh(self, n: int = 1) -> list[str]:
+        """Names of order columns that are not taken."""
+        names = (f"{POS}_{i}" for i in range(n + len(self.df.columns)))
+        return [x for x in names if x not in self.df.columns][:n]
 
     def _edge(self, rows: DataFrame, last: bool = False) -> Column:
         """The order key of the first or last of ``rows`` as a scalar subquery, null if there is none."""
@@ -83,20 +106,20 @@ class SeqFrame:
 
     # -- projection and filters ---------------------------------------------------------------------------------
     def map(self, *columns: Column | str, **named: Column) -> SeqFrame:
-        return self._with(self._select(*columns, *[c.alias(n) for n, c in named.items()]), self.is_dense)
+        return self._narrow(self._select(*columns, *[c.alias(n) for n, c in named.items()]), self.is_dense)
 
     map_conserve = map
 
     def filter(self, p: Column) -> SeqFrame:
-        return self._with(self.df.where(p))
+        return self._narrow(self.df.where(p))
 
     with_filter = filter
 
     def filter_not(self, p: Column) -> SeqFrame:
-        return self._with(self.df.where(~_true(p)))
+        return self._narrow(self.df.where(~_true(p)))
 
     def flat_map(self, array: Column, name: str = "x", *keep: str) -> SeqFrame:
-        sub = f"{POS}_{len(self.order)}"
+        (sub,) = self._fresh()
         return SeqFrame(self._select(*keep, F.posexplode(array).alias(sub, name)), (*self.order, sub))
 
     def flatten(self, column: str = "x") -> SeqFrame:
@@ -116,7 +139,7 @@ class SeqFrame:
 
     def tap_each(self, name: str, *metrics: Column) -> SeqFrame:
         """Observes metrics of the rows that pass, at least once each."""
-        return self._with(self.df.observe(name, *metrics), self.is_dense)
+        return self._narrow(self.df.observe(name, *metrics), self.is_dense)
 
     def partition(self, p: Column) -> tuple[SeqFrame, SeqFrame]:
         return self.filter(_true(p)), self.filter_not(p)
@@ -157,22 +180,33 @@ class SeqFrame:
 
     # -- structure -----------------------------------------------------------------------------------------------
     def take(self, n: int) -> SeqFrame:
+        if self.arrives:
+            return self._narrow(self.df.limit(max(0, n)), self.is_dense)
+        if n > FEW:
+            return SeqFrame(self.dense().df.where(F.col(POS) < n), (POS,), True)
         return self._with(self.df.orderBy(*self.order).limit(max(0, n)), self.is_dense)
 
     def drop(self, n: int) -> SeqFrame:
         if n <= 0:
             return self
-        if self.is_dense:
-            return self._with(self.df.where(F.col(POS) >= n))
+        if self.is_dense or n > FEW:
+            rows = self.dense()
+            return rows._with(rows.df.where(F.col(POS) >= n))
         edge = self._edge(self.df.select(*self.order).orderBy(*self.order).limit(n), last=True)
         return self._with(self.df.where(self.key > edge))
 
     def take_right(self, n: int) -> SeqFrame:
+        if n > FEW:
+            rows = self.dense()
+            return rows._with(rows.df.where(F.col(POS) >= rows.df.agg(F.count("*")).scalar() - n))
         return self._with(self.df.orderBy(*[F.desc(o) for o in self.order]).limit(max(0, n)))
 
     def drop_right(self, n: int) -> SeqFrame:
         if n <= 0:
             return self
+        if n > FEW:
+            rows = self.dense()
+            return rows._with(rows.df.where(F.col(POS) < rows.df.agg(F.count("*")).scalar() - n), True)
         edge = self._edge(self.df.select(*self.order).orderBy(*[F.desc(o) for o in self.order]).limit(n))
         return self._with(self.df.where(self.key < edge), self.is_dense)
 
@@ -184,14 +218,12 @@ class SeqFrame:
         return self.take(n), self.drop(n)
 
     def reverse(self) -> SeqFrame:
-        """The order with its sign turned: nothing moves."""
-        rows = self._numeric()
-        return rows._with(rows.df.withColumns({o: -F.col(o) for o in rows.order}))
-
-    def _numeric(self) -> SeqFrame:
-        """The same with an order that has a sign."""
-        kinds = dict(self.df.dtypes)
-        return self if all(kinds[o] in ("bigint", "int", "double", "float", "smallint", "tinyint") for o in self.order) else self.dense()
+        """The order turned: nothing moves.  Where its columns can't be turned (strings), places are counted first."""
+        turned = Order.of(self.df, self.order).turned()
+        if turned is None:
+            return self.dense().reverse()
+        names = self.order if len(turned) == len(self.order) else tuple(self._fresh(len(turned)))
+        return SeqFrame(self.df.select(*[c.alias(n) for n, c in zip(names, turned)], *self.columns), names)
 
     def init(self) -> SeqFrame:
         return self.drop_right(1)
@@ -200,17 +232,28 @@ class SeqFrame:
         return self.drop(1)
 
     def concat(self, *those: SeqFrame) -> SeqFrame:
-        """++: one after the other."""
+        """++: one after the other.  Each part keeps the type of its order columns; parts share columns of a type, and are null in others' columns."""
         parts = [self, *those]
-        most = max(len(p.order) for p in parts)
-        names = (f"{POS}_side", *[f"{POS}_{i}" for i in range(most)])
         kinds = {tuple(t for c, t in p.df.dtypes if c not in p.order) for p in parts}
         if len(kinds) > 1:
             raise TypeError(f"parts of different element types: {sorted(kinds)}")
+        slots: list[str] = []
+        held: list[dict[int, str]] = []
+        for p in parts:
+            own, at = {}, 0
+            for f in Order.of(p.df, p.order).fields:
+                kind = "bigint" if isinstance(f.dataType, WHOLE) else f.dataType.simpleString()
+                at = next((j for j in range(at, len(slots)) if slots[j] == kind), len(slots))
+                if at == len(slots):
+                    slots.append(kind)
+                own[at] = f.name
+                at += 1
+            held.append(own)
+        names = (f"{POS}_side", *[f"{POS}_{i}" for i in range(len(slots))])
         out = None
-        for i, p in enumerate(parts):
-            places = [F.col(o).cast("bigint") for o in p.order] + [F.lit(0).cast("bigint")] * (most - len(p.order))
-            rows = p.df.select(F.lit(i).cast("bigint").alias(names[0]), *[c.alias(n) for n, c in zip(names[1:], places)], *p.columns)
+        for i, (p, own) in enumerate(zip(parts, held)):
+            places = [(F.col(own[j]) if j in own else F.lit(None)).cast(kind).alias(n) for j, (kind, n) in enumerate(zip(slots, names[1:]))]
+            rows = p.df.select(F.lit(i).cast("bigint").alias(names[0]), *places, *p.columns)
             out = rows if out is None else out.union(rows)
         return SeqFrame(out, names)
 
@@ -251,13 +294,23 @@ class SeqFrame:
     def sliding(self, size: int, step: int = 1, name: str = "window", column: str = "x") -> SeqFrame:
         """Windows of ``size`` every ``step``; the last may have fewer, a short sequence has one.
 
-        An element goes to the windows it is part of, so the plan is one aggregation and no window over all rows.
+        Places are dealt in ranges much longer than a window, the first elements of a range to the one before, too, and
+        a window is the rows that follow its first one.  Where windows hardly overlap, an element goes to those it is part of.
         """
         if size < 1 or step < 1:
             raise ValueError("size and step must be positive")
         rows = self.dense()
         n = rows.df.agg(F.count("*")).scalar()
         windows = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / step) + 1)
+        if size > 2 * step:
+            width = max(8 * size, 1 << 13)
+            own = F.floor(F.col(POS) / width)
+            parts = F.when((F.col(POS) % width < size - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+            spread = rows.df.select(POS, F.struct(F.col(column).alias("v")).alias("__v"), F.explode(parts).alias("__p"))
+            follow = Window.partitionBy("__p").orderBy(POS).rowsBetween(0, size - 1)
+            spread = spread.withColumn("__w", F.collect_list("__v").over(follow))
+            spread = spread.where((F.floor(F.col(POS) / width) == F.col("__p")) & (F.col(POS) % step == 0) & (F.col(POS) / step < windows))
+            return SeqFrame(spread.select(F.floor(F.col(POS) / step).cast("bigint").alias(POS), F.transform("__w", lambda e: e["v"]).alias(name)), (POS,), True)
         first = F.greatest(F.lit(0), F.floor((F.col(POS) - size) / step) + 1)
         last = F.least(F.floor(F.col(POS) / step), windows - 1)
         spread = rows.df.select(POS, F.col(column).alias("__v"), first.alias("__a"), last.alias("__b")).where("__a <= __b")
@@ -326,7 +379,7 @@ class SeqFrame:
 
     def sort_by(self, *keys: Column) -> SeqFrame:
         """Stable: ties keep their order."""
-        names = [f"{POS}_k{i}" for i in range(len(keys))]
+        names = self._fresh(len(keys))
         return SeqFrame(self.df.withColumns({n: k for n, k in zip(names, keys)}), (*names, *self.order))
 
     def sorted(self, column: str = "x") -> SeqFrame:
@@ -339,10 +392,6 @@ class SeqFrame:
         one = rows.df.agg(F.array_sort(F.array_agg(F.struct(F.col(POS).alias("p"), F.col(column).alias("v"))), tied).alias("a"))
         return SeqFrame(one.select(F.posexplode("a").alias(POS, "e")).select(F.col(POS).cast("bigint").alias(POS), F.col("e.v").alias(column)), (POS,), True)
 
-    def _occurrences(self, column: str) -> DataFrame:
-        w = Window.partitionBy(column).orderBy(*self.order)
-        return self.df.withColumn("__o", F.row_number().over(w))
-
     def diff(self, that: SeqFrame, column: str = "x", that_column: str | None = None) -> SeqFrame:
         """Multiset difference: as many of the earliest go as ``that`` has."""
         return self._less(that, column, that_column, lambda o, n: o > F.coalesce(n, F.lit(0)), "left")
@@ -352,7 +401,7 @@ class SeqFrame:
 
     def _less(self, that: SeqFrame, column: str, that_column: str | None, keep: Step, how: str) -> SeqFrame:
         counts = that.df.groupBy(F.col(that_column or column).alias("__y")).agg(F.count("*").alias("__n"))
-        rows = self._occurrences(column).join(counts, F.col(column).eqNullSafe(F.col("__y")), how).where(keep(F.col("__o"), F.col("__n")))
+        rows = ordinal.occurrences(self.df, self.order, F.col(column), "__o").join(counts, F.col(column).eqNullSafe(F.col("__y")), how).where(keep(F.col("__o"), F.col("__n")))
         return self._with(rows.select(*self.df.columns))
 
     # -- grouping ------------------------------------------------------------------------------------------------
@@ -364,7 +413,8 @@ class SeqFrame:
         return self.df.groupBy(key.alias("key")).agg(A.gather(value, self.order, lambda x: x).alias(name))
 
     def group_reduce_by(self, key: Column, **specs: Agg) -> DataFrame:
-        return self.df.groupBy(key.alias("key")).agg(*[a.column(self.order).alias(n) for n, a in specs.items()])
+        rows, columns = self._specs(specs)
+        return rows.df.groupBy(key.alias("key")).agg(*columns)
 
     group_map_reduce = group_reduce = group_reduce_by
 
@@ -380,7 +430,8 @@ class SeqFrame:
 
     def group_adjacent_reduce_by(self, key: Column, **specs: Agg) -> SeqFrame:
         """(key, aggregates) of each maximal run; a run whose rows are all left out by an aggregate's ``where`` stays."""
-        found = self._runs(key).groupBy("__run").agg(F.first("__key").alias("key"), *[a.column(self.order).alias(n) for n, a in specs.items()])
+        rows, columns = self._specs(specs)
+        found = rows._runs(key).groupBy("__run").agg(F.first("__key").alias("key"), *columns)
         return SeqFrame(found.withColumnRenamed("__run", POS), (POS,), True)
 
     def fold_adjacent_by(self, key: Column, seed: Column, combine: Step, value: Column, name: str = "acc") -> SeqFrame:
@@ -410,10 +461,12 @@ class SeqFrame:
 
     # -- terminals -----------------------------------------------------------------------------------------------
     def agg(self, **specs: Agg) -> Scalar:
-        return Scalar(self.df.agg(*[a.column(self.order).alias(n) for n, a in specs.items()]))
+        rows, columns = self._specs(specs)
+        return Scalar(rows.df.agg(*columns))
 
     def agg_to(self, name: str = "value", **specs: Agg) -> Scalar:
-        return Scalar(self.df.agg(F.struct(*[a.column(self.order).alias(n) for n, a in specs.items()]).alias(name)))
+        rows, columns = self._specs(specs)
+        return Scalar(rows.df.agg(F.struct(*columns).alias(name)))
 
     def count(self, p: Column | None = None) -> Scalar:
         return self._one(A.count() if p is None else A.count().where(_true(p)), "count")
@@ -451,6 +504,8 @@ class SeqFrame:
         return self.exists(p & ~F.isnan(column) if dict(self.df.dtypes)[column] in ("double", "float") else p)
 
     def _first(self, last: bool = False) -> DataFrame:
+        if self.arrives and not last:
+            return self.df.limit(1).select(*self.columns)
         return self.df.orderBy(*[F.desc(o) if last else F.asc(o) for o in self.order]).limit(1).select(*self.columns)
 
     def head_option(self) -> Scalar:
@@ -478,25 +533,28 @@ class SeqFrame:
     def collect_first(self, when: Column, **named: Column) -> Scalar:
         return self.collect(when, **named).head_option()
 
+    def _place_of(self, edge: Column) -> Scalar:
+        """How many elements come before an order key, -1 without one: two narrow aggregates, and no places."""
+        before = F.count_if(self.key < edge)
+        return Scalar(self.df.agg(F.when(edge.isNull(), F.lit(-1)).otherwise(before).cast("bigint").alias("value")))
+
     def index_where(self, p: Column, start: int = 0) -> Scalar:
-        rows = self.dense().df.where(F.col(POS) >= start)
-        return Scalar(rows.agg(F.coalesce(F.min(F.when(p, F.col(POS))), F.lit(-1)).alias("value")))
+        return self._place_of(self._edge(self.drop(start).df.where(p))) if start <= 0 or not self.is_dense else self._place_of(self._edge(self.df.where(p & (F.col(POS) >= start))))
 
     def index_of(self, e: Column, start: int = 0, column: str = "x") -> Scalar:
         return self.index_where(F.col(column).eqNullSafe(e), start)
 
     def last_index_where(self, p: Column, end: int | None = None) -> Scalar:
-        rows = self.dense().df
-        rows = rows if end is None else rows.where(F.col(POS) <= end)
-        return Scalar(rows.agg(F.coalesce(F.max(F.when(p, F.col(POS))), F.lit(-1)).alias("value")))
+        rows = self if end is None else self.take(end + 1)
+        return self._place_of(self._edge(rows.df.where(p), last=True))
 
     def last_index_of(self, e: Column, end: int | None = None, column: str = "x") -> Scalar:
         return self.last_index_where(F.col(column).eqNullSafe(e), end)
 
     def segment_length(self, p: Column, start: int = 0) -> Scalar:
-        rows = self.dense().df.where(F.col(POS) >= max(0, start))
-        fail, n = F.min(F.when(~_true(p), F.col(POS))), F.count("*")
-        return Scalar(rows.agg((F.coalesce(fail - max(0, start), n)).alias("value")))
+        rows = self.drop(start)
+        fail = rows._first_failure(p)
+        return Scalar(rows.df.agg(F.count_if(fail.isNull() | (rows.key < fail)).alias("value")))
 
     def corresponds(self, that: SeqFrame, p: Column) -> Scalar:
         """p over the columns of both, of which the names differ, and equal lengths."""
@@ -593,26 +651,30 @@ class SeqFrame:
         return self._one(A.min_by(value, key, required=True))
 
     def max_by(self, value: Column, key: Column) -> Scalar:
-        return self._numeric()._one(A.max_by(value, key, required=True))
+        return self._one(A.max_by(value, key, required=True))
 
     def min_by_option(self, value: Column, key: Column) -> Scalar:
         return self._one(A.min_by(value, key))
 
     def max_by_option(self, value: Column, key: Column) -> Scalar:
-        return self._numeric()._one(A.max_by(value, key))
+        return self._one(A.max_by(value, key))
 
     def mk_string(self, x: Column, sep: str = "", start: str = "", end: str = "") -> Scalar:
         return self._one(Agg(lambda order, on: F.concat(F.lit(start), F.array_join(gather_text(x, order), sep, "null"), F.lit(end))))
 
+    def _best(self, n: int, key: Column, down: bool) -> SeqFrame:
+        (name,) = self._fresh()
+        by = [F.desc_nulls_last(name) if down else F.asc_nulls_first(name), *self.order]
+        rows = self.df.withColumn(name, key).orderBy(*by).limit(max(1, n))
+        rows = rows.withColumn("__d", (F.row_number().over(Window.orderBy(*by)) - 1).cast("bigint"))  # over n rows
+        return SeqFrame(rows.select(F.col("__d").alias(POS), *self.columns), (POS,), True)
+
     def top_n_by(self, n: int, key: Column) -> SeqFrame:
-        """Best first, the earlier on ties; n below 1 counts as 1."""
-        rows = self.df.withColumn(f"{POS}_k", -key)
-        order = (f"{POS}_k", *self.order)
-        return SeqFrame(rows.orderBy(*order).limit(max(1, n)), order)
+        """Best first, the earlier on ties; n below 1 counts as 1; keys of any type that sorts, NaN is the greatest, null the least."""
+        return self._best(n, key, True)
 
     def bottom_n_by(self, n: int, key: Column) -> SeqFrame:
-        rows, order = self.df.withColumn(f"{POS}_k", key), (f"{POS}_k", *self.order)
-        return SeqFrame(rows.orderBy(*order).limit(max(1, n)), order)
+        return self._best(n, key, False)
 
     def top_n(self, n: int, column: str = "x") -> SeqFrame:
         return self.top_n_by(n, F.col(column))
@@ -648,11 +710,24 @@ class SeqFrame:
         """(key, value), the last value of each key."""
         return self.df.groupBy(key.alias("key")).agg(F.max_by(value, self.key).alias("value"))
 
+    def to(self, factory: Callable[[Iterator], Any]) -> Any:
+        """What ``factory`` makes of the elements in order, a partition at a time."""
+        return factory(self.iterator())
+
     def plan(self) -> dict[str, list[str]]:
         from ..plans.report import report
 
         return report(self.df.select(*self.columns))
 
+    def plan_fold(self, zero: Column, step: Step, x: Column) -> dict[str, list[str]]:
+        """What a fold reads, and how."""
+        return self.plan_agg(value=A.fold(zero, step, x))
+
+    def plan_agg(self, **specs: Agg) -> dict[str, list[str]]:
+        from ..plans.report import report
+
+        return report(self.agg(**specs).df)
+
 
 def gather_text(x: Column, order: Order) -> Column:
     return A.gather(x.cast("string"), order, lambda v: v)

@@ -1,25 +1,69 @@
-"""SetFrame: sets as one distinct column, or as a predicate that need not be finite, under one algebra.
+"""SetFrame: sets as one distinct column, or as a condition that need not be finite, under one algebra.
 
-A finite set is a DataFrame of one column.  A predicate set is a function from a Column to a boolean Column.  Both kinds
-mix: a finite set meets a predicate by a filter, and whether a result is finite is known when it is planned.
+A finite set is a DataFrame of one column.  Any other set is a tree of ``not``, ``and``, ``or`` and ``xor`` over finite
+sets and predicates, functions from a Column to a boolean Column.  A finite set meets such a tree by null-safe semi and
+anti joins and by filters, and whether a result is finite is known when it is planned.  Null is an element like any
+other: a predicate that gives null for it doesn't hold, and its complement does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import table
 from .frame import Scalar
 
 Member = Callable[[Column], Column]
 
 
+@dataclass(frozen=True)
+class Node:
+    """``kind``: 'in' (of a DataFrame of x), 'is' (a predicate), 'not', 'and', 'or' or 'xor'."""
+
+    kind: str
+    parts: tuple = ()
+
+    def plain(self) -> bool:
+        """No finite set in it."""
+        return self.kind == "is" or (self.kind != "in" and all(p.plain() for p in self.parts))
+
+    def column(self, x: Column, flags: dict[int, Column]) -> Column:
+        """Whether x is in the set, never null; flags: a column for each finite set."""
+        if self.kind == "is":
+            return F.coalesce(self.parts[0](x), F.lit(False))
+        if self.kind == "in":
+            return flags[id(self)]
+        own = [p.column(x, flags) for p in self.parts]
+        return ~own[0] if self.kind == "not" else own[0] & own[1] if self.kind == "and" else own[0] | own[1] if self.kind == "or" else own[0] != own[1]
+
+    def leaves(self) -> list[Node]:
+        return [self] if self.kind == "in" else [] if self.kind == "is" else [x for p in self.parts for x in p.leaves()]
+
+    def choose(self, df: DataFrame, x: str, wanted: bool = True) -> DataFrame:
+        """The rows of ``df`` whose column ``x`` is in the set, or is not."""
+        if self.kind == "not":
+            return self.parts[0].choose(df, x, not wanted)
+        if self.kind == "in":
+            return df.join(self.parts[0].select(F.col("x").alias("__x")), F.col(x).eqNullSafe(F.col("__x")), "left_semi" if wanted else "left_anti")
+        if self.kind == ("and" if wanted else "or"):
+            return self.parts[1].choose(self.parts[0].choose(df, x, wanted), x, wanted)
+        flags = {}
+        rows = df
+        for i, leaf in enumerate({id(n): n for n in self.leaves()}.values()):  # sets are distinct, so a row stays one row
+            rows = rows.join(leaf.parts[0].select(F.col("x").alias(f"__x{i}"), F.lit(True).alias(f"__f{i}")), F.col(x).eqNullSafe(F.col(f"__x{i}")), "left")
+            flags[id(leaf)] = F.coalesce(F.col(f"__f{i}"), F.lit(False))
+        holds = self.column(F.col(x), flags)
+        return rows.where(holds if wanted else ~holds).select(*df.columns)
+
+
 class SetFrame:
-    def __init__(self, df: DataFrame | None, member: Member | None = None):
-        self._df, self.member = df, member
+    def __init__(self, df: DataFrame | None, member: Member | Node | None = None):
+        self._df, self._member = df, member if isinstance(member, Node) or member is None else Node("is", (member,))
 
     # -- construction -------------------------------------------------------------------------------------------
     @classmethod
@@ -92,69 +136,69 @@ class SetFrame:
         return self._df
 
     def materialize(self) -> SetFrame:
-        """The algebra done once: cached, spilled by Spark where memory is short.  A set that is not finite raises."""
-        return SetFrame(self.df.persist())
+        """The algebra done once: written to the shared folder until the program ends.  A set that is not finite raises."""
+        return SetFrame(table(self.df))
+
+    @property
+    def node(self) -> Node:
+        """The set as a condition."""
+        return self._member if self._member is not None else Node("in", (self.df,))
 
     # -- algebra -------------------------------------------------------------------------------------------------
     def union(self, that: SetFrame) -> SetFrame:
         if self.is_finite and that.is_finite:
             return SetFrame(self.df.union(that.df).distinct())
-        return SetFrame(None, lambda x: self._holds(x) | that._holds(x))
+        return SetFrame(None, Node("or", (self.node, that.node)))
 
     def intersect(self, that: SetFrame) -> SetFrame:
         for a, b in ((self, that), (that, self)):
-            if a._df is not None and b.member is not None:
-                return SetFrame(a.df.where(b.member(F.col("x"))))
+            if a._df is not None or (a.is_finite and not b.is_finite):
+                return SetFrame(b.node.choose(a.df, "x"))
         if self.is_finite and that.is_finite:
             return SetFrame(self.df.intersect(that.df))
-        return SetFrame(None, lambda x: self._holds(x) & that._holds(x))
+        return SetFrame(None, Node("and", (self.node, that.node)))
 
     def diff(self, that: SetFrame) -> SetFrame:
-        if self.is_finite and that.member is not None:
-            return SetFrame(self.df.where(~that.member(F.col("x"))))
         if self.is_finite:
-            return SetFrame(self.df.subtract(that.df))
-        return SetFrame(None, lambda x: self._holds(x) & ~that._holds(x))
+            return SetFrame(that.node.choose(self.df, "x", False))
+        return SetFrame(None, Node("and", (self.node, Node("not", (that.node,)))))
 
     def xor(self, that: SetFrame) -> SetFrame:
         if self.is_finite and that.is_finite:
             both = self.df.withColumn("s", F.lit(1)).union(that.df.withColumn("s", F.lit(2)))
             return SetFrame(both.groupBy("x").agg(F.sum("s").alias("s")).where("s <> 3").select("x"))
-        return SetFrame(None, lambda x: self._holds(x) != that._holds(x))
+        return SetFrame(None, Node("xor", (self.node, that.node)))
 
     def complement(self) -> SetFrame:
-        return SetFrame(None, lambda x: ~self._holds(x))
+        """Of a complement, the set itself: finite again, if it was."""
+        if self._member is not None and self._member.kind == "not":
+            inner = self._member.parts[0]
+            return SetFrame(inner.parts[0]) if inner.kind == "in" else SetFrame(None, inner)
+        return SetFrame(None, Node("not", (self.node,)))
 
     __or__ = __add__ = union
     __and__, __sub__, __xor__, __invert__ = intersect, diff, xor, complement
 
     def incl(self, e: Any) -> SetFrame:
         if not self.is_finite:
-            return SetFrame(None, lambda x: self._holds(x) | (x == e))
+            return SetFrame(None, Node("or", (self.node, Node("is", (lambda x: x.eqNullSafe(F.lit(e)),)))))
         return SetFrame(self.df.union(self.df.sparkSession.range(1).select(F.lit(e).cast(self.df.dtypes[0][1]).alias("x"))).distinct())
 
     def excl(self, e: Any) -> SetFrame:
         if not self.is_finite:
-            return SetFrame(None, lambda x: self._holds(x) & (x != e))
+            return SetFrame(None, Node("and", (self.node, Node("is", (lambda x: ~x.eqNullSafe(F.lit(e)),)))))
         return SetFrame(self.df.where(~F.col("x").eqNullSafe(F.lit(e))))
 
     # -- membership ----------------------------------------------------------------------------------------------
-    def _holds(self, x: Column) -> Column:
-        if self.member is not None:
-            return self.member(x)
-        # a finite set inside a predicate: a subquery, planned as a semi or anti join
-        return x.isin(self.df)
-
     def contains(self, e: Any) -> Scalar:
-        if self.member is not None:
-            return Scalar(SparkSession.active().range(1).select(self.member(F.lit(e)).alias("value")))
-        return Scalar(self.df.where(F.col("x").eqNullSafe(F.lit(e))).limit(1).agg((F.count("*") > 0).alias("value")))
+        if self._df is not None:
+            return Scalar(self.df.where(F.col("x").eqNullSafe(F.lit(e))).limit(1).agg((F.count("*") > 0).alias("value")))
+        one = SparkSession.active().range(1).select(F.lit(e).alias("x"))
+        return Scalar(self.node.choose(one, "x").agg((F.count("*") > 0).alias("value")))
 
     def among(self, df: DataFrame, column: str) -> DataFrame:
         """The rows of ``df`` whose column is in the set."""
-        if self.member is not None:
-            return df.where(self.member(F.col(column)))
-        return df.join(self.df.withColumnRenamed("x", "__x"), F.col(column).eqNullSafe(F.col("__x")), "left_semi")
+        return self.node.choose(df, column)
 
     def subset_of(self, that: SetFrame) -> Scalar:
         return Scalar(self.diff(that).df.limit(1).agg((F.count("*") == 0).alias("value")))

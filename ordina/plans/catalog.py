@@ -14,6 +14,7 @@ from ..operators.sets import SetFrame
 from ..sources import constructors as C
 from ..sources import ndjson
 from ..streaming import stages
+from ..streaming.frame import StreamFrame
 from .scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,9 +84,9 @@ def flat_map(s, d):
     return orders(s, d).flat_map(F.array("o_custkey", -c("o_custkey")), "k", "o_orderkey").ordered()
 
 
-@query("SELECT vec_id, unnest(embedding[1:4]) AS e FROM embeddings")
+@query("SELECT vec_id, unnest(embedding) AS e FROM embeddings")
 def flatten(s, d):
-    q = SeqFrame.of(_read(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("e")), "vec_id")
+    q = SeqFrame.of(_read(s, d, "embeddings").select("vec_id", c("embedding").alias("e")), "vec_id")
     return q.flat_map(c("e"), "e", "vec_id").ordered()
 
 
@@ -227,9 +228,9 @@ def unzip(s, d):
     return a.df.select(F.lit("a").alias("side"), c("o_orderkey").alias("k")).union(b.df.select(F.lit("b"), "o_custkey"))
 
 
-@query("SELECT CAST(i - 1 AS BIGINT) AS pos, list(e ORDER BY vec_id) AS x FROM (SELECT vec_id, unnest(embedding[1:3]) AS e, unnest([1, 2, 3]) AS i FROM embeddings) GROUP BY i")
+@query("SELECT CAST(i - 1 AS BIGINT) AS pos, list(e ORDER BY vec_id) AS x FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY i")
 def transpose(s, d):
-    q = SeqFrame.of(_read(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("x")), "vec_id").map("x")
+    q = SeqFrame.of(_read(s, d, "embeddings").select("vec_id", c("embedding").alias("x")), "vec_id").map("x")
     return places(q.transpose(), "x")
 
 
@@ -440,9 +441,9 @@ def group_by(s, d):
     return events(s, d).group_by(c("user_id"), "ids", "event_id")
 
 
-@query("SELECT o_orderstatus AS key, list(o_custkey + 1 ORDER BY o_orderkey) AS ids FROM orders WHERE o_orderkey < 500 GROUP BY 1")
+@query("SELECT o_orderstatus AS key, list(o_custkey + 1 ORDER BY o_orderkey) AS ids FROM orders GROUP BY 1")
 def group_map(s, d):
-    return orders(s, d).filter(c("o_orderkey") < 500).group_map(c("o_orderstatus"), c("o_custkey") + 1, "ids")
+    return orders(s, d).group_map(c("o_orderstatus"), c("o_custkey") + 1, "ids")
 
 
 @query("SELECT l_returnflag AS key, count(*) AS count FROM lineitem GROUP BY 1")
@@ -586,7 +587,7 @@ def set_membership(s, d):
 @query(f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN ({_FS})")
 def set_complement(s, d):
     a, _ = _sets(s, d)
-    return SetFrame.of(_read(s, d, "customer"), "c_custkey").diff(a).df.select(c("x").alias("c_custkey"))
+    return (SetFrame.of(_read(s, d, "customer"), "c_custkey") & ~a).df.select(c("x").alias("c_custkey"))
 
 
 # -- records --------------------------------------------------------------------------------------------------------------------------
@@ -624,32 +625,32 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d).select("event_id", "user_id", "event_type")
 
 
-@query("SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS acc FROM events WHERE user_id < 60")
+@query("SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS acc FROM events")
 def stream_scan(s, d):
-    return stages.settle(stages.scan(_stream(s, d), "event_id", "event_id", 0, lambda a, v: a + int(v), by=("user_id",)))
+    return stages.settle(stages.scan(_stream(s, d), "event_id", "event_id", 0, "sum", by=("user_id",)))
 
 
-@query("WITH r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS ch FROM events WHERE user_id < 60)) SELECT any_value(event_type) AS key, CAST(sum(event_id) AS BIGINT) AS acc FROM r GROUP BY user_id, run QUALIFY run < max(run) OVER (PARTITION BY user_id)")
+@query("WITH r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS ch FROM events)) SELECT any_value(event_type) AS key, CAST(sum(event_id) AS BIGINT) AS acc FROM r GROUP BY user_id, run QUALIFY run < max(run) OVER (PARTITION BY user_id)")
 def stream_fold_adjacent(s, d):
-    return stages.settle(stages.fold_adjacent(_stream(s, d), "event_id", "event_type", "event_id", 0, lambda a, v: a + int(v), by=("user_id",)))
+    return stages.settle(stages.fold_adjacent(_stream(s, d), "event_id", "event_type", "event_id", 0, "sum", by=("user_id",)))
 
 
-@query('SELECT list(event_id ORDER BY event_id) AS "group" FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3 AS g FROM events WHERE user_id < 60) GROUP BY user_id, g HAVING count(*) = 3')
+@query('SELECT list(event_id ORDER BY event_id) AS "group" FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3 AS g FROM events) GROUP BY user_id, g HAVING count(*) = 3')
 def stream_grouped(s, d):
     return stages.settle(stages.grouped(_stream(s, d), "event_id", "event_id", 3, by=("user_id",)))
 
 
-@query('SELECT "window" FROM (SELECT list(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING) AS "window" FROM events WHERE user_id < 60) WHERE len("window") = 3')
+@query('SELECT "window" FROM (SELECT list(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING) AS "window" FROM events) WHERE len("window") = 3')
 def stream_sliding(s, d):
     return stages.settle(stages.sliding(_stream(s, d), "event_id", "event_id", 3, by=("user_id",)))
 
 
-@query("SELECT event_id AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS index FROM events WHERE user_id < 60")
+@query("SELECT event_id AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS index FROM events")
 def stream_zip_with_index(s, d):
     return stages.settle(stages.zip_with_index(_stream(s, d), "event_id", "event_id", by=("user_id",)))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events WHERE user_id < 60")
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_distinct(s, d):
     return stages.settle(stages.distinct(_stream(s, d).select("user_id", "event_type"), "user_id", "event_type"))
 
@@ -726,10 +727,10 @@ def concat_constructor(s, d):
 # -- arrays in a row ------------------------------------------------------------------------------------------------------------------------
 def _vectors(s: SparkSession, d: str) -> DataFrame:
     ints = F.transform("embedding", lambda e: F.floor(e * 100).cast("bigint"))
-    return _read(s, d, "embeddings").select("vec_id", F.slice(ints, 1, 12).alias("xs"))
+    return _read(s, d, "embeddings").select("vec_id", ints.alias("xs"))
 
 
-_XS = "SELECT vec_id, list_transform(embedding[1:12], lambda e: CAST(floor(CAST(e AS FLOAT) * 100) AS BIGINT)) AS xs FROM embeddings"
+_XS = "SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS FLOAT) * 100) AS BIGINT)) AS xs FROM embeddings"
 
 
 @query(f"SELECT vec_id, list_transform(xs, lambda x: x * 2) AS twice, list_filter(xs, lambda x: x > 0) AS positive, CAST(list_sum(xs) AS BIGINT) AS total, len(list_filter(xs, lambda x: x > 10)) > 0 AS some FROM ({_XS})")
@@ -741,10 +742,10 @@ def array_map_filter_fold(s, d):
 @query(f"SELECT vec_id, xs[1:3] AS t, xs[4:] AS dr, xs[-3:] AS tr, xs[3:5] AS sl, list_reverse(xs) AS rev, list_concat(xs, [0, 0, 0]) AS padded FROM ({_XS})")
 def array_structure(s, d):
     xs = c("xs")
-    return _vectors(s, d).select("vec_id", R.take(xs, 3).alias("t"), R.drop(xs, 3).alias("dr"), R.take_right(xs, 3).alias("tr"), R.slice_(xs, 2, 5).alias("sl"), F.reverse(xs).alias("rev"), R.pad_to(xs, 15, F.lit(0).cast("bigint")).alias("padded"))
+    return _vectors(s, d).select("vec_id", R.take(xs, 3).alias("t"), R.drop(xs, 3).alias("dr"), R.take_right(xs, 3).alias("tr"), R.slice_(xs, 2, 5).alias("sl"), F.reverse(xs).alias("rev"), R.pad_to(xs, 67, F.lit(0).cast("bigint")).alias("padded"))
 
 
-@query(f"SELECT vec_id, [xs[1:5], xs[6:10], xs[11:12]] AS groups, [xs[1:8], xs[3:10], xs[5:12]] AS windows, list_prepend(CAST(0 AS BIGINT), list_transform(range(1, 13), lambda i: CAST(list_sum(xs[1:i]) AS BIGINT))) AS sums FROM ({_XS})")
+@query(f"SELECT vec_id, list_transform(range(0, (len(xs) + 4) // 5), lambda i: xs[5 * i + 1 : least(5 * i + 5, len(xs))]) AS groups, list_transform(range(0, (len(xs) - 8) // 2 + 1), lambda i: xs[2 * i + 1 : 2 * i + 8]) AS windows, list_prepend(CAST(0 AS BIGINT), list_transform(range(1, len(xs) + 1), lambda i: CAST(list_sum(xs[1:i]) AS BIGINT))) AS sums FROM ({_XS})")
 def array_windows_scan(s, d):
     xs = c("xs")
     return _vectors(s, d).select("vec_id", R.grouped(xs, 5).alias("groups"), R.sliding(xs, 8, 2).alias("windows"), R.scan_left(xs, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sums"))
@@ -756,14 +757,14 @@ def array_search_sort(s, d):
     return _vectors(s, d).select("vec_id", R.index_where(xs, lambda x: x > 10).alias("at"), R.sort_by(xs, lambda x: x).alias("ordered"))
 
 
-@query(f"SELECT vec_id, list_transform(range(1, 5), lambda i: xs[i] * 1000 + xs[i + 4]) AS pairs, list_concat(xs[1:2], [CAST(0 AS BIGINT)], xs[5:]) AS patched, list_concat(xs[1:3], [CAST(7 AS BIGINT)], xs[5:]) AS updated FROM ({_XS})")
+@query(f"SELECT vec_id, list_transform(range(1, len(xs) - 3), lambda i: xs[i] * 1000 + xs[i + 4]) AS pairs, list_concat(xs[1:2], [CAST(0 AS BIGINT)], xs[5:]) AS patched, list_concat(xs[1:3], [CAST(7 AS BIGINT)], xs[5:]) AS updated FROM ({_XS})")
 def array_zip_patch(s, d):
     xs = c("xs")
     zero = F.array(F.lit(0).cast("bigint"))
-    return _vectors(s, d).select("vec_id", F.transform(R.zip_(R.take(xs, 4), R.drop(xs, 4)), lambda p: p["_1"] * 1000 + p["_2"]).alias("pairs"), R.patch(xs, 2, zero, 2).alias("patched"), R.updated(xs, 3, F.lit(7).cast("bigint")).alias("updated"))
+    return _vectors(s, d).select("vec_id", F.transform(R.zip_(xs, R.drop(xs, 4)), lambda p: p["_1"] * 1000 + p["_2"]).alias("pairs"), R.patch(xs, 2, zero, 2).alias("patched"), R.updated(xs, 3, F.lit(7).cast("bigint")).alias("updated"))
 
 
-@query(f"SELECT vec_id, list_filter(xs, lambda x, i: i < coalesce(list_position(list_transform(xs, lambda x: x > 5), true), 13)) AS lead, list_filter(xs, lambda x, i: i >= coalesce(list_position(list_transform(xs, lambda x: x > 5), true), 13)) AS rest FROM ({_XS})")
+@query(f"SELECT vec_id, list_filter(xs, lambda x, i: i < coalesce(list_position(list_transform(xs, lambda x: x > 5), true), len(xs) + 1)) AS lead, list_filter(xs, lambda x, i: i >= coalesce(list_position(list_transform(xs, lambda x: x > 5), true), len(xs) + 1)) AS rest FROM ({_XS})")
 def array_take_drop_while(s, d):
     xs = c("xs")
     return _vectors(s, d).select("vec_id", R.take_while(xs, lambda x: x <= 5).alias("lead"), R.drop_while(xs, lambda x: x <= 5).alias("rest"))
@@ -773,3 +774,263 @@ def array_take_drop_while(s, d):
 def array_diff(s, d):
     some = F.array(*[F.lit(v) for v in (2, 3, 2, 1)])
     return _read(s, d, "orders").select("o_orderkey", R.diff(some, F.array(F.lit(2), F.lit(2), F.lit(9))).alias("kept"))
+
+
+# -- orders of any type -----------------------------------------------------------------------------------------------------------------------
+_ODD = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END"
+
+
+def _odd(s: SparkSession, d: str) -> SeqFrame:
+    """Events whose x is a double with nulls and NaN."""
+    return SeqFrame.of(_read(s, d, "events").select("event_id", F.expr(_ODD).alias("x")), "event_id")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY i, x, k) - 1 AS BIGINT) AS pos, x FROM (SELECT 0 AS i, o_totalprice AS x, o_orderkey AS k FROM orders UNION ALL SELECT 1, 9.5, 0)")
+def sorted_append(s, d):
+    return places(orders(s, d).map(x=c("o_totalprice")).sorted().append(F.lit(9.5)), "x")
+
+
+@query("WITH a AS (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS p FROM orders) SELECT CAST(row_number() OVER (ORDER BY i, p) - 1 AS BIGINT) AS pos, x FROM (SELECT CASE WHEN p < 5 THEN 0 ELSE 2 END AS i, p, o_totalprice AS x FROM a WHERE p < 5 OR p >= 8 UNION ALL SELECT 1, n_nationkey, CAST(n_nationkey AS DOUBLE) FROM nation)")
+def sorted_patch(s, d):
+    nation = SeqFrame.of(_read(s, d, "nation").select("n_nationkey", c("n_nationkey").cast("double").alias("x")), "n_nationkey").map("x")
+    return places(orders(s, d).map(x=c("o_totalprice")).sorted().patch(5, nation, 3), "x")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY i, x, k) - 1 AS BIGINT) AS pos, x FROM (SELECT 1 AS i, n_name AS x, n_nationkey AS k FROM nation UNION ALL SELECT 2, r_name, r_regionkey FROM region UNION ALL SELECT 0, 'first', 0)")
+def sorted_concat_text(s, d):
+    one = SeqFrame.of(_read(s, d, "nation").select("n_nationkey", c("n_name").alias("x")), "n_nationkey").map("x").sorted()
+    two = SeqFrame.of(_read(s, d, "region").select("r_regionkey", c("r_name").alias("x")), "r_regionkey").map("x").sorted()
+    return places(one.concat(two).prepend(F.lit("first")), "x")
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY x DESC NULLS LAST, event_id DESC) - 1 AS BIGINT) AS pos, event_id FROM (SELECT event_id, {_ODD} AS x FROM events)")
+def reverse_nulls(s, d):
+    return places(_odd(s, d).sorted().map("event_id").reverse(), "event_id")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_name DESC) - 1 AS BIGINT) AS pos, n_nationkey FROM nation")
+def reverse_text(s, d):
+    return places(SeqFrame.of(_read(s, d, "nation"), "n_nationkey").sort_by(c("n_name")).map("n_nationkey").reverse(), "n_nationkey")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY event_type DESC, event_id) - 1 AS BIGINT) AS pos, event_id FROM events ORDER BY pos LIMIT 40")
+def top_n_string(s, d):
+    return places(events(s, d).top_n_by(40, c("event_type")), "event_id")
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY x DESC NULLS LAST, event_id) - 1 AS BIGINT) AS pos, event_id FROM (SELECT event_id, {_ODD} AS x FROM events) ORDER BY pos LIMIT 200")
+def top_n_nan(s, d):
+    return places(_odd(s, d).top_n(200), "event_id")
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY x NULLS FIRST, event_id) - 1 AS BIGINT) AS pos, event_id FROM (SELECT event_id, {_ODD} AS x FROM events) ORDER BY pos LIMIT 200")
+def bottom_n_nan(s, d):
+    return places(_odd(s, d).bottom_n(200), "event_id")
+
+
+@query("SELECT event_type AS key, max(CAST(ts AS DATE)) AS day, arg_max(event_id, (ts, -event_id)) AS latest, list(event_id ORDER BY ts DESC, event_id)[1:3] AS last3 FROM events GROUP BY 1")
+def max_by_time(s, d):
+    q = SeqFrame.of(_read(s, d, "events").select("event_id", "event_type", "ts"), "event_id")
+    out = q.group_reduce_by(c("event_type"), day=A.max(F.to_date("ts")), latest=A.max_by(c("event_id"), c("ts")), last3=A.top_n_by(3, c("ts"), c("event_id")))
+    return out.select("key", "day", "latest", "last3")
+
+
+@query("SELECT (SELECT n_nationkey FROM nation ORDER BY n_regionkey DESC, n_name LIMIT 1) AS hi, (SELECT n_nationkey FROM nation ORDER BY n_regionkey, n_name LIMIT 1) AS lo")
+def max_by_text_order(s, d):
+    """The order itself is a text, which can't be turned: ties go to the first name."""
+    q = SeqFrame.of(_read(s, d, "nation").select("n_nationkey", "n_regionkey", "n_name"), "n_name")
+    return q.agg(hi=A.max_by(c("n_nationkey"), c("n_regionkey"), required=True), lo=A.min_by(c("n_nationkey"), c("n_regionkey"), required=True)).df
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_regionkey, n_name, n_nationkey) - 1 AS BIGINT) AS pos, n_nationkey FROM nation")
+def sort_by_twice(s, d):
+    return places(SeqFrame.of(_read(s, d, "nation"), "n_nationkey").sort_by(c("n_name")).sort_by(c("n_regionkey")), "n_nationkey")
+
+
+# -- sets with null ---------------------------------------------------------------------------------------------------------------------------
+_FIVE, _NULLED = "SELECT DISTINCT o_custkey % 5 AS x FROM orders", "SELECT DISTINCT nullif(o_custkey % 3, 0) AS x FROM orders"
+
+
+@query(f"WITH a AS ({_FIVE} UNION SELECT NULL), b AS ({_NULLED}) SELECT 'minus' AS side, x FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'not', x FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'and', x FROM (FROM a INTERSECT FROM b) UNION ALL SELECT 'or', x FROM a WHERE x > 2 OR x IN (SELECT x FROM b WHERE x IS NOT NULL) OR (x IS NULL AND EXISTS (FROM b WHERE x IS NULL)) UNION ALL SELECT 'xor', x FROM a WHERE coalesce(x > 1, false) <> EXISTS (FROM b WHERE b.x IS NOT DISTINCT FROM a.x)")
+def set_null_algebra(s, d):
+    o = _read(s, d, "orders")
+    a = SetFrame.of(o.select((c("o_custkey") % 5).alias("x"))).incl(None)
+    b = SetFrame.of(o.select(F.nullif(c("o_custkey") % 3, F.lit(0)).alias("x")))
+    parts = {"minus": a - b, "not": a & ~b, "and": a & b, "or": a & (SetFrame.above(2) | b), "xor": a & (SetFrame.above(1) ^ b)}
+    out = None
+    for side, found in parts.items():
+        rows = found.df.select(F.lit(side).alias("side"), "x")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(f"SELECT (SELECT count(*) FROM ({_FS} UNION {_OS})) AS n, true AS known, false AS open, true AS some, (SELECT min(x) >= 0 FROM ({_FS})) AS every")
+def set_finite(s, d):
+    a, b = _sets(s, d)
+    one = lambda r, n: r.df.scalar().alias(n)
+    kinds = ((a | b).finite() is not None, (a | ~b).finite() is not None)
+    return s.range(1).select(one((a | b).materialize().size(), "n"), F.lit(kinds[0]).alias("known"), F.lit(kinds[1]).alias("open"), one(a.exists(lambda x: x > 1), "some"), one(a.forall(lambda x: x >= 0), "every"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_regionkey) - 1 AS BIGINT) AS pos, n_regionkey AS x FROM (SELECT DISTINCT n_regionkey FROM nation)")
+def set_to_list(s, d):
+    a = SetFrame.of(_read(s, d, "nation"), "n_regionkey")
+    assert a.to_list() == list(a.iterator())
+    return places(C.from_iterable(s, a.to_list()), "x")
+
+
+# -- what ends in the program -------------------------------------------------------------------------------------------------------------------
+def _nations(s: SparkSession, d: str) -> SeqFrame:
+    return C.from_frame(_read(s, d, "nation").select(c("n_nationkey").cast("bigint").alias("x"), "n_name"), "x")
+
+
+@query("SELECT CAST(x AS BIGINT) AS pos, x FROM (SELECT CAST(n_nationkey AS BIGINT) AS x FROM nation)")
+def from_frame(s, d):
+    return places(_nations(s, d), "x")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS pos, CAST(n_nationkey AS BIGINT) AS x FROM nation")
+def iterator(s, d):
+    return places(C.from_iterable(s, list(_nations(s, d).map("x").iterator())), "x")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey DESC) - 1 AS BIGINT) AS pos, CAST(n_nationkey AS BIGINT) AS x FROM nation")
+def to_list(s, d):
+    q, half = _nations(s, d).map("x").reverse(), [None] * 3
+    got = q.to_list()
+    assert q.copy_to_array(half) == 3 and half == got[:3] and q.to(tuple) == tuple(got)
+    return places(C.from_iterable(s, got), "x")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS pos, CAST(n_nationkey AS BIGINT) AS x FROM nation WHERE n_nationkey <= 7")
+def foreach_while(s, d):
+    seen: list[int] = []
+    _nations(s, d).map("x").foreach_while(lambda x: seen.append(x) or x < 7)
+    return places(C.from_iterable(s, seen), "x")
+
+
+@query("SELECT count(*) AS called, count(*) FILTER (WHERE value > 50) AS some FROM events")
+def agg_foreach(s, d):
+    q = events(s, d)
+    return q.agg(called=A.foreach(lambda v: None, c("x")), some=A.foreach(lambda v: None, c("x")).where(c("value") > 50)).df
+
+
+@query("SELECT count(*) AS n, max(user_id) AS peak FROM events WHERE value > 50")
+def tap_each_metric(s, d):
+    from pyspark.sql import Observation
+
+    seen = Observation("seen")
+    events(s, d).filter(c("value") > 50).tap_each(seen, F.count(F.lit(1)).alias("n"), F.max("x").alias("peak")).map("x").df.write.format("noop").mode("overwrite").save()
+    return s.createDataFrame([(seen.get["n"], seen.get["peak"])], "n bigint, peak bigint")
+
+
+@query("SELECT CAST(list_reduce(list_prepend(CAST(1 AS BIGINT), list(CAST(n_nationkey AS BIGINT) ORDER BY n_nationkey)), lambda a, x: (a * 7 + x) % 10007) AS BIGINT) AS value FROM nation")
+def fold(s, d):
+    return _nations(s, d).fold(F.lit(1).cast("bigint"), lambda a, x: (a * 7 + x) % 10007, c("x")).df
+
+
+@query("SELECT unnest(['l_extendedprice', 'l_orderkey', 'l_quantity']) AS live, unnest([true, false, true]) AS summed")
+def plan_agg(s, d):
+    q = SeqFrame(_read(s, d, "lineitem"), ("l_orderkey", "l_linenumber")).filter(c("l_quantity") > 20)
+    live = set(q.plan_agg(total=A.sum(c("l_extendedprice")))["live"])
+    return s.createDataFrame([(n, n in live) for n in ("l_extendedprice", "l_orderkey", "l_quantity")], "live string, summed boolean")
+
+
+# -- what is pulled ---------------------------------------------------------------------------------------------------------------------------
+@query("SELECT range AS pos, range * 3 AS x FROM range(7)")
+def pull_take(s, d):
+    """The first of an unbounded iterator, after a filter; nothing beyond the limit's batch is pulled."""
+    import itertools
+
+    return C.from_iterator(s, itertools.count).filter(c("x") % 3 == 0).take(7).df.select((c("x") / 3).cast("bigint").alias("pos"), "x")
+
+
+@query("SELECT range AS pos, 'line ' || range AS x FROM range(4)")
+def from_reader(s, d):
+    import io
+
+    return places(C.from_reader(s, lambda: io.StringIO("\n".join(f"line {i}" for i in range(4)))), "x")
+
+
+@query("SELECT range AS pos, ['a', '', 'ü'][range + 1] AS x FROM range(3)")
+def lines_of(s, d):
+    import io
+
+    return places(C.lines_of(s, lambda: io.BytesIO("a\r\n\nü".encode())), "x")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS pos, CAST(2 AS BIGINT) AS id, 'b' AS name UNION ALL SELECT 1, 3, 'c'")
+def ndjson_range(s, d):
+    lines = [f'{{"id": {i}, "name": "{n}"}}\n' for i, n in ((1, "a"), (2, "b"), (3, "c"), (4, "d"))]
+    return places(ndjson.in_memory(s, "".join(lines), "id BIGINT, name STRING", start=len(lines[0]), until=len("".join(lines[:3]))), "id", "name")
+
+
+# -- streams of records, prefixes and ends ------------------------------------------------------------------------------------------------------
+@query("SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 50000")
+def ndjson_stream(s, d):
+    to = folder(s)
+    _read(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").write.json(to)
+    q = ndjson.fuse(s, to, "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderstatus STRING", "o_orderkey")
+    return q.filter(c("o_totalprice") > 50000).run().select("o_custkey", "o_orderstatus")
+
+
+def _users(s: SparkSession, d: str) -> StreamFrame:
+    return StreamFrame(_stream(s, d), "event_id", ("user_id",))
+
+
+@query("SELECT event_id AS value FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n <= 5")
+def stream_take(s, d):
+    return stages.settle(_users(s, d).take(5, "event_id"))
+
+
+@query("SELECT event_id AS value FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n > 5")
+def stream_drop(s, d):
+    return stages.settle(_users(s, d).drop(5, "event_id"))
+
+
+@query("SELECT event_id AS value FROM (SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS over FROM events) WHERE over = 0")
+def stream_take_while(s, d):
+    return stages.settle(_users(s, d).take_while(c("event_type") != "purchase", "event_id"))
+
+
+@query("SELECT event_id AS value FROM (SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS over FROM events) WHERE over = 1")
+def stream_drop_while(s, d):
+    return stages.settle(_users(s, d).drop_while(c("event_type") != "purchase", "event_id"))
+
+
+def _ending(s: SparkSession, d: str) -> StreamFrame:
+    """The events of each user, in two batches, with a row at the end."""
+    to, e = folder(s), _read(s, d, "events").select("event_id", "user_id", "event_type")
+    e.withColumn("fin", F.lit(False)).write.parquet(f"{to}/1")
+    e.groupBy("user_id").agg((F.max("event_id") + 1).alias("event_id")).select("event_id", "user_id", F.lit("").alias("event_type"), F.lit(True).alias("fin")).write.parquet(f"{to}/2")
+    schema = "event_id bigint, user_id bigint, event_type string, fin boolean"
+    files = s.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
+    return StreamFrame(files.parquet(to), "event_id", ("user_id",), "fin")
+
+
+@query('SELECT list(event_id ORDER BY event_id) AS "group" FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3 AS g FROM events) GROUP BY user_id, g')
+def stream_grouped_end(s, d):
+    return stages.settle(_ending(s, d).grouped(3, "event_id"))
+
+
+@query("WITH r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS ch FROM events)) SELECT any_value(event_type) AS key, max(event_id) AS acc FROM r GROUP BY user_id, run")
+def stream_fold_adjacent_end(s, d):
+    return stages.settle(_ending(s, d).fold_adjacent_by(c("event_type"), 0, "max", "event_id"))
+
+
+@query("SELECT event_id AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 2")
+def stream_take_right(s, d):
+    return stages.settle(_ending(s, d).take_right(2, "event_id"))
+
+
+@query("SELECT event_type AS key, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS total FROM events GROUP BY 1")
+def stream_group_reduce(s, d):
+    import uuid
+
+    q = _users(s, d).group_reduce(c("event_type"), n=F.count("*"), total=F.sum("user_id"))
+    return stages.drain(q, f"reduced_{uuid.uuid4().hex}", "complete")
+
+
+@query("SELECT event_id, user_id * 2 AS twice FROM events WHERE event_type = 'click'")
+def stream_map_filter(s, d):
+    return _users(s, d).collect(c("event_type") == "click", twice=c("user_id") * 2).run().select("event_id", "twice")

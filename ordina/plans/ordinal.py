@@ -1,33 +1,42 @@
 """Dense ordinals, run ids and running folds over a declared order, without a single task for large inputs.
 
-A frame that the optimizer's own size estimate puts below ``SMALL`` bytes is ordered by one window.  Beyond it the
-frame is dealt by range of its order, sorted and checkpointed once; a row's place within its range comes from
-``monotonically_increasing_id`` and what a range has to add from a prefix sum over one row per range.
+A frame that the optimizer's own size estimate puts below ``SMALL`` bytes is ordered by one window, if nothing in its
+plan makes more rows than the estimate knows of.  Any other frame is dealt by range of its order, sorted and written
+once; a row's place within its range comes from ``monotonically_increasing_id`` and what a range has to add from a
+prefix sum over one row per range.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import table
 
 SMALL = 32 << 20
 _RANGE, _PLACE = "__range", "__place"
 
 
+#: Operators whose estimate bounds what they give: those that give no more rows than they take, and joins, estimated as a product.
+_BOUNDED = set("Project Filter Relation LocalRelation LogicalRDD OneRowRelation Range Aggregate Distinct Deduplicate Sort Window GlobalLimit LocalLimit Limit Offset Union Join Intersect Except SubqueryAlias Repartition RepartitionByExpression RebalancePartitions CollectMetrics WithCTE CTERelationRef CTERelationDef InMemoryRelation".split())
+
+
 def is_small(df: DataFrame) -> bool:
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) < SMALL
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = [re.match(r"[\s:+\-!]*(\w+)", line) for line in plan.toString().splitlines()]
+    if not all(m and m[1] in _BOUNDED for m in nodes):
+        return False
+    return int(str(plan.stats().sizeInBytes())) < SMALL
 
 
 def ranged(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """``df`` cut into sorted ranges, with __range and __place (from 0 within the range)."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    rows = cut(rows)
+    rows = table(rows)
     return rows.withColumn(_RANGE, F.shiftright("__m", 33)).withColumn(_PLACE, F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m")
 
 
@@ -78,3 +87,15 @@ def running(df: DataFrame, order: tuple[str, ...], fold: Callable[[Column], Colu
     own = fold(F.col("__v")).over(Window.partitionBy(_RANGE).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, 0))
     out = rows.join(F.broadcast(base), F.col(_RANGE) == F.col("__r")).withColumn("__o", own)
     return out.withColumn(name, F.when(F.col("__base").isNull(), F.col("__o")).otherwise(both(F.col("__base"), F.col("__o")))).drop("__v", "__o", _RANGE, _PLACE, "__r", "__base")
+
+
+def occurrences(df: DataFrame, order: tuple[str, ...], key: Column, name: str, small: bool | None = None) -> DataFrame:
+    """Adds the 1-based number of a row among the rows of its key (null equals null) as BIGINT ``name``.  A hot key's rows stay in their ranges."""
+    if is_small(df) if small is None else small:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    rows = ranged(df.withColumn("__k", key), order)
+    counts = rows.groupBy(F.col(_RANGE).alias("__r"), F.struct("__k").alias("__kk")).agg(F.count("*").alias("__n"))
+    base = counts.withColumn("__base", F.sum("__n").over(Window.partitionBy("__kk").orderBy("__r")) - F.col("__n"))
+    own = F.row_number().over(Window.partitionBy(_RANGE, "__k").orderBy(_PLACE))
+    out = rows.withColumn("__own", own).join(base, (F.col(_RANGE) == F.col("__r")) & F.struct("__k").eqNullSafe(F.col("__kk")))
+    return out.withColumn(name, (F.col("__own") + F.col("__base")).cast("long")).drop("__k", "__own", _RANGE, _PLACE, "__r", "__kk", "__n", "__base")

@@ -10,19 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder of our own only where it is unset."""
+    """``spark.checkpoint.dir``; a temporary folder of our own only where it is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="ordina-"))
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ordina-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return (named or held.get()).rstrip("/")
+    return held.get().rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` read back from a reliable checkpoint; its partitions keep their order."""
-    root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, columns as they are asked for; removed when the program ends."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def folder(spark: SparkSession) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from typing import Any
+from typing import IO, Any, Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +65,14 @@ def concat(*parts: SeqFrame) -> SeqFrame:
     return parts[0].concat(*parts[1:])
 
 
+class Source(Protocol):
+    """What is pulled: the next elements, None at the end.  ``close`` is called once: at the end, at a limit or on an error."""
+
+    def pull_chunk(self) -> list | None: ...
+
+    def close(self) -> None: ...
+
+
 class _Generated(DataSource):
     """A Python generator as a table: read by one task, closed on exhaustion, a limit or an error."""
 
@@ -97,7 +105,61 @@ def generate(spark: SparkSession, make: Callable[[], Iterator], kind: str = "big
     """The elements of an iterator made on the executor."""
     source = type("Generated", (_Generated,), {"make": staticmethod(make), "kind": kind})
     spark.dataSource.register(source)
-    return SeqFrame(spark.read.format("ordina_generated").load(), (POS,), True)
+    return SeqFrame(spark.read.format("ordina_generated").load(), (POS,), True, arrives=True)
+
+
+def from_source(spark: SparkSession, make: Callable[[], Source], kind: str = "bigint") -> SeqFrame:
+    """The elements of a source made on the executor.  ``take``, ``head`` and ``find`` stop pulling when they have theirs."""
+
+    def pull() -> Iterator:
+        source = make()
+        try:
+            while (chunk := source.pull_chunk()) is not None:
+                yield from chunk
+        finally:
+            source.close()
+
+    return generate(spark, pull, kind)
+
+
+def from_iterator(spark: SparkSession, make: Callable[[], Iterable], kind: str = "bigint") -> SeqFrame:
+    """The elements of an iterator made on the executor, pulled as they are asked for."""
+    return generate(spark, lambda: iter(make()), kind)
+
+
+def from_reader(spark: SparkSession, open_: Callable[[], IO[str]]) -> SeqFrame:
+    """The lines of a text reader opened on the executor, without their ends; the reader is closed."""
+
+    def pull() -> Iterator[str]:
+        with open_() as reader:
+            for line in reader:
+                yield line.rstrip("\n").removesuffix("\r")
+
+    return generate(spark, pull, "string")
+
+
+def lines_of(spark: SparkSession, open_: Callable[[], IO[bytes]]) -> SeqFrame:
+    """The lines of a stream of UTF-8 bytes opened on the executor; bytes that are none become U+FFFD."""
+    import io
+
+    return from_reader(spark, lambda: io.TextIOWrapper(open_(), "utf-8", "replace", newline="\n"))
+
+
+def stop_at(make: Callable[[], Iterator], p: Callable[[Any], bool]) -> Callable[[], Iterator]:
+    """The same generator up to the first element for which ``p`` does not hold; no more is pulled."""
+
+    def pull() -> Iterator:
+        it = make()
+        try:
+            for x in it:
+                if not p(x):
+                    break
+                yield x
+        finally:
+            if hasattr(it, "close"):
+                it.close()
+
+    return pull
 
 
 def unfold(spark: SparkSession, init: Any, f: Callable[[Any], tuple[Any, Any] | None], kind: str = "bigint") -> SeqFrame:

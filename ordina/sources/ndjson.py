@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.frame import POS, SeqFrame
+from ..streaming.frame import StreamFrame
 
 _KINDS = {int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
 _ALLOWED = (T.IntegerType, T.LongType, T.DoubleType, T.StringType)
@@ -58,12 +59,19 @@ def parse(lines: SeqFrame, record: type | T.StructType | str, column: str = "lin
     return SeqFrame(_zeros(df, schema, missing), lines.order, lines.is_dense)
 
 
-def in_memory(spark: SparkSession, data: bytes | str, record: type | T.StructType | str, missing: str = "null") -> SeqFrame:
-    text = data.decode("utf-8") if isinstance(data, bytes) else data
+def in_memory(spark: SparkSession, data: bytes | str, record: type | T.StructType | str, missing: str = "null", start: int = 0, until: int | None = None) -> SeqFrame:
+    """Records of the lines in data[start:until], places in bytes of UTF-8."""
+    raw = (data if isinstance(data, bytes) else data.encode("utf-8"))[start:until]
+    text = raw.decode("utf-8")
     rows: list[tuple[int, Any]] = list(enumerate(x for x in text.split("\n") if x.strip()))
     return parse(SeqFrame(spark.createDataFrame(rows, f"{POS} bigint, line string"), (POS,), True), record, "line", missing)
 
 
+def fuse(spark: SparkSession, path: str, record: type | T.StructType | str, order: str, files_per_trigger: int = 1) -> StreamFrame:
+    """The same as a pipeline; ``order``: a field that orders the records of a batch."""
+    return StreamFrame(stream(spark, path, record, files_per_trigger), order)
+
+
 def stream(spark: SparkSession, path: str, record: type | T.StructType | str, files_per_trigger: int = 1) -> DataFrame:
     """A streaming DataFrame over a folder of files."""
     return spark.readStream.schema(schema_of(record)).option("maxFilesPerTrigger", files_per_trigger).json(path)

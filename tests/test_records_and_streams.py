@@ -77,7 +77,7 @@ def test_stages_keep_their_state_over_batches(spark, folder):
 
 
 def test_streams_take_every_user(spark, tmp_path):
-    """Brute force over users on both sides of 60; the SQL of these queries stops at 60."""
+    """Brute force over every user."""
     from ordina.plans import catalog
 
     rows = [(i, (7, 59, 60, 1000)[i * i % 11 % 4], "ab"[i // 3 % 2]) for i in range(48)]
