@@ -5,17 +5,20 @@
 2. Equal sets collapse into one representative, the smallest doc_id, before anything is compared.
 3. The signature is cut into bands.  Within a bucket of equal bands every member is compared with one hub,
    the smallest member: first by signature, with a margin of five standard deviations, then on full sets.
+   A hub's text goes along once for each block of its members.
 4. Links give components by large-star and small-star.
 5. Buckets of more than two members that still span several components hold pairs nobody compared.  They are
    not enumerated: two sets with the asked similarity share a shingle within their first, rarest ones, and
    from there on enough shingles are left in both (prefix and position filter, exact).  Pairs of different
-   components that pass go to the full sets too, and the components are joined.
+   components that pass go to the full sets too, and the components are joined.  Texts that share a shingle are
+   dealt into blocks, and blocks meet by twos, so a shingle of many texts is many keys.
 
 So a group of copies costs its size and not its square, and no link between the candidates of step 3 is lost.
 Candidates miss a pair of similarity 0.8 with probability (1 - 0.8**4)**32 < 5e-8.
 
 Defined results: null, empty and blank texts have no set, and link with nothing; a row without doc_id links
-with nothing and keeps a null component; rows of one doc_id share a component; an empty table gives no rows.
+with nothing and keeps a null component; rows of one doc_id are documents of their own, each with the component of
+its text, and are kept where that is the doc_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import ordinal
 from . import textvec as tv
 from .components import components
 from .storage import Scratch, read
 
 _MARGIN = 5.0
+#: Members of a hub that are compared in one run; texts of a shingle in a block of the left-over round.
+MEMBERS, BLOCK = 256, 512
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +55,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (set size), fp1, fp2, sig: 16 bits of each minimum, so that a band is 2 * rows bytes."""
+    """doc_id, key, n (set size), fp1, fp2, sig: 16 bits of each minimum, so that a band is 2 * rows bytes.  docs: doc_id, text, key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _coefficients(bands * rows)
@@ -73,11 +79,11 @@ def sign(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 lanes = (tv.mix(sig) >> np.uint64(48)).astype("<u2")
                 raw = np.ascontiguousarray(lanes).view(np.uint8).ravel()
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0).slice(i, j - i), "n": n, "fp1": fp1, "fp2": fp2,
+                    "doc_id": batch.column(0).slice(i, j - i), "key": batch.column(2).slice(i, j - i), "n": n, "fp1": fp1, "fp2": fp2,
                     "sig": pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * (2 * bands * rows)).astype(np.int32)), pa.py_buffer(raw)]),
                 })
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, fp1 long, fp2 long, sig binary")
 
 
 def _alike(pairs: DataFrame, lanes: int, similarity: float) -> DataFrame:
@@ -93,36 +99,44 @@ def _alike(pairs: DataFrame, lanes: int, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity.  texts: doc_id, text."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the similarity.  texts: node, text, once a node.
+
+    A run is a b with a block of its a's: b's text comes first, once, and its set is held while the run passes.
+    """
+    pairs = scratch.table(pairs.select("a", "b"))
+    runs = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(MEMBERS)).cast("int").alias("runs"))
+    members = pairs.join(runs, "b").select("a", "b", F.pmod(F.xxhash64("a"), "runs").cast("int").alias("run"))
+    members = members.join(texts.select(F.col("node").alias("a"), "text"), "a").select("b", "run", "a", "text")
+    hubs = runs.select("b", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"))
+    hubs = hubs.join(texts.select(F.col("node").alias("b"), "text"), "b").select("b", "run", F.lit(None).cast("long").alias("a"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_set = None, np.zeros(0, np.uint64)
         for batch in batches:
-            size = np.maximum(1, np.asarray(pc.binary_length(batch.column(2)).fill_null(0)) + np.asarray(pc.binary_length(batch.column(3)).fill_null(0))).astype(np.int64)
-            for i, j in tv.slices(np.concatenate([[0], np.cumsum(size)]), 4 << 20):
-                part = batch.slice(i, j - i)
-                both = pa.concat_arrays([part.column(2), part.column(3)]).dictionary_encode()
-                sets = shingle_sets(*tv.text_buffers(both.dictionary), k)
-                at = np.asarray(both.indices)
+            buf, off = tv.text_buffers(batch.column(3))
+            b, a = np.asarray(batch.column(0)).tolist(), batch.column(2).to_pylist()
+            for i, j in tv.slices(off, 4 << 20):
                 keep = []
-                for x, y in zip(at[: j - i].tolist(), at[j - i :].tolist()):
-                    p, q = sets[x], sets[y]
-                    if len(p) > len(q):
-                        p, q = q, p
+                for t, p in zip(range(i, j), shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)):
+                    if a[t] is None:
+                        hub, hub_set = b[t], p
+                        continue
+                    p, q = (p, hub_set) if len(p) <= len(hub_set) else (hub_set, p)
                     where = np.searchsorted(q, p)
                     where[where == len(q)] = 0
                     common = int((q[where] == p).sum()) if len(q) else 0
-                    keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
+                    if hub == b[t] and common and 100 * common >= percent * (len(p) + len(q) - common):
+                        keep.append((a[t], b[t]))
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in keep], pa.int64()), "b": pa.array([y for _, y in keep], pa.int64())})
 
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = hubs.unionByName(members).repartition(parts, "b", "run").sortWithinPartitions("b", "run", F.asc_nulls_first("a"))
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _shingle_rows(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, shingle: one row for each element of each set."""
+    """node, n, shingle: one row for each element of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,74 +145,85 @@ def _shingle_rows(texts: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "shingles": pa.ListArray.from_arrays(pa.array(at), pa.array(flat))})
+                yield pa.RecordBatch.from_pydict({"node": batch.column(0).slice(i, j - i), "shingles": pa.ListArray.from_arrays(pa.array(at), pa.array(flat))})
 
-    rows = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
-    return rows.select("doc_id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    rows = texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    return rows.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
 
 
-def _left_over(active: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs of different components that may reach the similarity.  active: doc_id, component."""
-    rows = scratch.table(_shingle_rows(texts.join(active.select("doc_id"), "doc_id", "left_semi"), k))
+def _left_over(active: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """Pairs of different components that may reach the similarity.  active: node, component."""
+    rows = scratch.table(_shingle_rows(texts.join(active.select("node"), "node", "left_semi"), k))
     shared = scratch.table(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
     common = rows.join(shared, "shingle")
     # shingles of one text alone come first in the order (df, shingle), and join with nothing
-    order = "row_number() over (partition by doc_id order by df, shingle) - 1 + n - count(*) over (partition by doc_id)"
-    prefix = common.withColumn("pos", F.expr(order)).where(F.expr(f"100 * (n - pos) >= {percent} * n")).join(active, "doc_id")
-    prefix = scratch.table(prefix.select("shingle", "doc_id", "component", "n", "pos"))
-    l, r = prefix.alias("l"), prefix.alias("r")
-    on = F.expr(f"l.shingle = r.shingle and l.doc_id > r.doc_id and l.component <> r.component and {100 + percent} * least(l.n - l.pos, r.n - r.pos) >= {percent} * (l.n + r.n)")
-    return l.join(r, on).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
+    order = "row_number() over (partition by node order by df, shingle) - 1 + n - count(*) over (partition by node)"
+    prefix = common.withColumn("pos", F.expr(order)).where(F.expr(f"100 * (n - pos) >= {percent} * n")).join(active, "node")
+    prefix = scratch.table(prefix.select("shingle", "node", "component", "n", "pos"))
+    # of a shingle in many prefixes every two blocks are a key: left of one, right of the other
+    blocks = prefix.groupBy("shingle").agg(F.count("*").alias("_n")).where("_n > 1").select("shingle", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("blocks"))
+    dealt = prefix.join(blocks, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    l = dealt.withColumnsRenamed({"own": "x", "other": "y"}).drop("blocks").alias("l")
+    r = dealt.withColumnsRenamed({"own": "y", "other": "x"}).drop("blocks").alias("r")
+    on = F.expr(f"l.shingle = r.shingle and l.x = r.x and l.y = r.y and l.node > r.node and l.component <> r.component and {100 + percent} * least(l.n - l.pos, r.n - r.pos) >= {percent} * (l.n + r.n)")
+    return l.join(r, on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each document; see the module for the method.
+    """doc_id, key (hash of the text), n_shingles, component_id, kept: one row for each document; see the module for the method.
 
     k: words of a shingle; percent: the least Jaccard similarity of a link, in hundredths.
     """
     spark = docs.sparkSession
     scratch, lanes, similarity = Scratch(spark, "minhash"), bands * rows, percent / 100
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
     signed = scratch.table(sign(docs, k, bands, rows))
     reps = scratch.table(
-        signed.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-        .select("fp1", "fp2", "n", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig"))
+        signed.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "key", "sig")).alias("m"))
+        .select("fp1", "fp2", "n", F.col("m.doc_id").alias("rep"), F.col("m.key").alias("rep_key"), F.col("m.sig").alias("sig"))
     )
+    # a set's node is its smallest doc_id; were sets to share one, nodes are the places in the order of doc_id
+    shared = not reps.groupBy("rep").count().where("count > 1").isEmpty()
+    reps = scratch.table(ordinal.dense(reps, ("rep", "fp1", "fp2", "n"), "node")) if shared else reps.withColumn("node", F.col("rep"))
     keys = F.array(*[F.xxhash64(F.substring("sig", 2 * rows * b + 1, 2 * rows), F.lit(b)) for b in range(bands)])
-    banded = reps.select("rep", F.explode(keys).alias("key"))
-    hubs = scratch.table(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1"))
-    buckets = scratch.table(banded.join(hubs, "key"))
-
-    small = reps.select("rep", "n", "sig")
-    pairs = buckets.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = pairs.join(small.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
-    pairs = pairs.join(small.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
+    banded = reps.select("node", F.explode(keys).alias("band"))
+    hubs = scratch.table(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1"))
+    buckets = scratch.table(banded.join(hubs, "band"))
+
+    small = reps.select("node", "n", "sig")
+    pairs = buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = pairs.join(small.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
+    pairs = pairs.join(small.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
     pairs = scratch.table(_alike(pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"), lanes, similarity))
 
-    wanted = scratch.table(buckets.where("members > 2").select(F.col("rep").alias("doc_id")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct())
-    texts = scratch.table(docs.join(wanted, "doc_id", "left_semi"))
-    links = scratch.table(_confirmed(pairs, texts, k, percent))
+    wanted = buckets.where("members > 2").select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = scratch.table(reps.select("node", F.col("rep").alias("doc_id"), F.col("rep_key").alias("key")).join(wanted, "node", "left_semi"))
+    texts = scratch.table(docs.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("node", "text"))
+    links = scratch.table(_confirmed(pairs, texts, k, percent, scratch))
     linked = components(links, scratch, "a", "b")
 
-    grouped = buckets.where("members > 2").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    grouped = buckets.where("members > 2").join(linked, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     grouped = scratch.table(grouped)
-    open_keys = scratch.table(grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
-    active = scratch.table(grouped.join(open_keys, "key").select(F.col("rep").alias("doc_id"), "component").distinct())
-    more = scratch.table(_confirmed(_left_over(active, texts, k, percent, scratch), texts, k, percent))
-    if not more.isEmpty():
-        stars = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        linked = components(stars.unionByName(more), scratch, "a", "b")
-
-    classes = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("class"))
+    open_bands = scratch.table(grouped.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band"))
+    if not open_bands.isEmpty():
+        active = scratch.table(grouped.join(open_bands, "band").select("node", "component").distinct())
+        more = scratch.table(_confirmed(_left_over(active, texts, k, percent, scratch), texts, k, percent, scratch))
+        if not more.isEmpty():
+            stars = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            linked = components(stars.unionByName(more), scratch, "a", "b")
+
+    classes = reps.join(linked, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("class"))
+    if shared:
+        classes = classes.join(reps.select(F.col("node").alias("class"), "rep"), "class").select("fp1", "fp2", "n", F.col("rep").alias("class"))
     classes = scratch.table(classes)
     scratch.only(signed, classes)
-    found = signed.select("doc_id", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
+    found = signed.select("doc_id", "key", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept over 2-word shingles, at 80 in 100."""
-    return near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
+    return near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
