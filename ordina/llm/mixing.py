@@ -4,8 +4,9 @@ Every document gets a hash-random key.  Within a source, keys are cut into range
 keep about ``RANGE_ROWS`` documents in each, so a hot source is many ranges; sizes are summed by range, the
 sums' prefix gives each range its base, and a running sum within the range gives every document its place in
 the source's random order.  A source's target is whole epochs and a rest, and the rest is cut exactly: documents
-before the cut are taken once more, the one on the cut with the words that are left.  All of it is native, and
-no task holds more than a range or the table of sources.
+before the cut are taken once more, the one on the cut with the words that are left.  Targets come from places and
+prefix sums over the table of sources, in ranges of it where it is large.  All of it is native, and no task holds more
+than a range.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, last in
 the order; keys hash doc_id and size, so reruns agree, and rows that are equal in both share them in any order.
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans import ordinal
 from .storage import Scratch, read
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -29,18 +31,18 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most_e
     ``share`` times all sizes is dealt by weight; a target stops at most_epochs * source_size and the excess is
     dealt anew.  In the order of the caps per weight, the level at which dealing ends is a prefix sum.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     names = F.array(*[F.lit(float(w)) for w in weights])
-    rows = sources.withColumn("w", F.element_at(names, ((F.row_number().over(order) - 1) % len(weights)) + 1)).withColumn("cap", F.col("source_size") * F.lit(float(most_epochs)))
-    by_level = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    rows = rows.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(everything))
+    rows = sources.withColumns({"last": F.col("source").isNull(), "by": F.encode("source", "UTF-8")})
+    rows = ordinal.dense(rows, ("last", "by"), "place").withColumn("w", F.element_at(names, (F.col("place") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(most_epochs)))
+    rows = rows.withColumn("rate", F.col("cap") / F.col("w"))
+    for name in ("cap", "w"):  # up to each source in the order of the level that fills it
+        rows = ordinal.running(rows, ("rate", "last", "by"), F.sum, lambda a, b: a + b, F.col(name), f"upto_{name}")
+    sums = lambda column: rows.agg(F.coalesce(F.sum(column), F.lit(0.0)).alias("s")).scalar()
+    budget = F.lit(float(share)) * sums(F.col("source_size").cast("double"))
     # were every source from this one on at the level of this one's cap, this much would be dealt
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("rest_w", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    rows = rows.withColumn("capped", F.col("full") + F.col("rest_w") * F.col("cap") / F.col("w") <= F.col("budget"))
-    left = F.sum(F.when(F.col("capped"), F.lit(0.0)).otherwise(F.col("w"))).over(everything)
-    spent = F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(F.lit(0.0))).over(everything)
+    full, rest = F.col("upto_cap") - F.col("cap"), sums(F.col("w")) - (F.col("upto_w") - F.col("w"))
+    rows = rows.withColumn("budget", budget).withColumn("capped", full + rest * F.col("rate") <= F.col("budget"))
+    left, spent = sums(F.when(F.col("capped"), F.lit(0.0)).otherwise(F.col("w"))), sums(F.when(F.col("capped"), F.col("cap")).otherwise(F.lit(0.0)))
     level = (F.col("budget") - spent) * F.col("w") / F.nullif(left, F.lit(0.0))
     return rows.select("source", "source_size", "docs", F.when(F.col("capped"), F.col("cap")).otherwise(F.least(F.col("cap"), level)).alias("target"))
 
