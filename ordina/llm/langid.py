@@ -6,6 +6,9 @@ one against the rest; within it, one-versus-one machines separate the languages
 Features are shares of hashed byte n-grams, so a margin is a mean of weights over the whole text: one gather
 and one segmented sum, of no more memory than a slice of the column.
 
+A text longer than a slice is read in pieces that overlap by what an n-gram needs, so every n-gram counts once.
+A part of the sample is held back from training: ``floor`` is a score that next to all of its rows reach.
+
 Defined results: a null text or one without a letter is ``und`` with score 0; everything else gets a learned
 language, and a score from 0 to 1 (the family's times the closest duel's certainty).  Without training rows every
 text is ``und``.  Equal texts get equal results; an empty table gives no rows; columns of the input are kept.
@@ -13,6 +16,7 @@ text is ``und``.  Equal texts get equal results; an empty table gives no rows; c
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +31,11 @@ from . import textvec as tv
 from .storage import read, small_batches
 
 DIMENSIONS, GRAMS = 1 << 13, (2, 3, 4)
-#: At most so many training rows of a language; their bound on memory is PER_LANGUAGE * languages * DIMENSIONS.
-PER_LANGUAGE = 400
+#: At most about so many training rows of a language, and of all; languages that are learnt at most, the most frequent.
+#: The bound on the driver's memory is MOST_ROWS * DIMENSIONS * 4 bytes.
+PER_LANGUAGE, MOST_ROWS, MOST_LANGUAGES = 400, 4000, 200
+#: Of the held-back rows, the share that may lie below the floor, before a margin is taken off it.
+_BELOW, _MARGIN = 0.0, 0.9
 _STEEP = 4.0
 
 
@@ -39,13 +46,23 @@ def grams(buf: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
     place = np.arange(len(b))
     h = np.zeros(len(b), np.uint64)
     for n in range(1, max(GRAMS) + 1):
-        h[: len(b) - n + 1] = h[: len(b) - n + 1] * np.uint64(257) + b[n - 1 :] + np.uint64(1)
+        m = max(0, len(b) - n + 1)
+        h[:m] = h[:m] * np.uint64(257) + b[n - 1 :] + np.uint64(1)
         if n in GRAMS:
             x = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51)
             x[place + n > end] = DIMENSIONS
             yield x.astype(np.int64)
 
 
+def long_grams(buf: np.ndarray) -> Iterator[np.ndarray]:
+    """As grams, of one text, piece by piece: a piece sees the byte before it and those its last n-grams reach into."""
+    for a in range(0, len(buf), tv.PIECE):
+        lead = min(a, 1)
+        part = buf[a - lead : a + tv.PIECE + max(GRAMS) - 1]
+        for x in grams(part, np.array([0, len(part)])):
+            yield x[lead : lead + tv.PIECE]
+
+
 def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Whether each text has a letter, a slice of texts at a time."""
     out = np.zeros(len(off) - 1, bool)
@@ -78,6 +95,7 @@ class LanguageModel:
     duels: list[tuple[int, int]]  #: pairs of languages of one family, in the order of the last weights
     weights: np.ndarray  #: DIMENSIONS + 1 x (families + duels); the last row, for no n-gram, is 0
     bias: np.ndarray
+    floor: float = 0.0  #: a score that next to all texts of the learnt languages reach
 
     def predict(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the language or -1, score) of each text."""
@@ -87,14 +105,23 @@ class LanguageModel:
             return best, score
         margin, count = np.zeros((n, self.weights.shape[1]), np.float64), np.zeros(n)
         for i, j in tv.slices(off):
-            o = off[i : j + 1] - off[i]
-            for a in range(0, max(1, int(o[-1])), tv.PIECE):  # a text longer than a slice comes in pieces, n-grams on their border are its loss
-                piece = np.clip(o - a, 0, tv.PIECE)
-                part = buf[off[i] + a : off[i] + min(int(o[-1]), a + tv.PIECE)]
-                for x in grams(part, piece):
-                    margin[i:j] += _sums(self.weights[x], piece)
-                    count[i:j] += _sums((x < DIMENSIONS).astype(np.int64), piece)
-        margin = margin / np.maximum(count, 1)[:, None] + self.bias
+            o, part = off[i : j + 1] - off[i], buf[off[i] : off[j]]
+            if len(part) <= tv.PIECE:
+                for x in grams(part, o):
+                    margin[i:j] += _sums(self.weights[x], o)
+                    count[i:j] += _sums((x < DIMENSIONS).astype(np.int64), o)
+            else:
+                for x in long_grams(part):
+                    margin[i] += self.weights[x].sum(axis=0, dtype=np.float64)
+                    count[i] += (x < DIMENSIONS).sum()
+        best, score = self.decide(margin / np.maximum(count, 1)[:, None] + self.bias)
+        none = ~has_letter(buf, off)
+        best[none], score[none] = -1, 0
+        return best, score
+
+    def decide(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the language, score) from the machines' margins."""
+        n, k = len(margin), len(self.families)
         sure = lambda m: 1 / (1 + np.exp(-np.clip(_STEEP * m, -500, 500)))
         family = margin[:, :k].argmax(axis=1) if k > 1 else np.zeros(n, np.int64)
         certain = sure(margin[:, :k].max(axis=1)) if k > 1 else np.ones(n)
@@ -113,10 +140,7 @@ class LanguageModel:
             outside = [t for t in range(len(self.languages)) if t not in members]
             votes[np.ix_(family == f, outside)] = -np.inf
         best = votes.argmax(axis=1)
-        score = certain * sure(close[np.arange(n), best])
-        none = ~has_letter(buf, off)
-        best[none], score[none] = -1, 0
-        return best, np.clip(score, 0, 1)
+        return best, np.clip(certain * sure(close[np.arange(n), best]), 0, 1)
 
     def names(self, best: np.ndarray) -> np.ndarray:
         return np.array([*self.languages, "und"], dtype=object)[best]
@@ -171,9 +195,10 @@ def train(x: np.ndarray, names: list[str]) -> LanguageModel:
     return LanguageModel(languages, families, duels, np.vstack([w, np.zeros((1, w.shape[1]))]).astype(np.float32), np.array([f[1] for f in fitted]))
 
 
-def _bounded(rows: DataFrame, by: Column, most: int, key: Column) -> DataFrame:
-    """About ``most`` rows of each value of ``by`` at random by hash, from counts over all rows; as they are if there are fewer."""
-    counts = rows.groupBy(by.alias("v")).count().collect()  # one row a language
+def _bounded(rows: DataFrame, by: Column, key: Column, per_value: int) -> DataFrame:
+    """About ``per_value`` rows of each of the MOST_LANGUAGES most frequent values at random by hash, MOST_ROWS of all, from counts over all rows."""
+    counts = rows.groupBy(by.alias("v")).count().orderBy(F.desc("count"), "v").limit(MOST_LANGUAGES).collect()
+    most = min(per_value, MOST_ROWS // max(1, len(counts)))
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["v"], most / r["count"])]), by) if counts else F.lit(0.0)
     place = F.shiftrightunsigned(F.xxhash64(F.lit(29), key), 12) / F.lit(float(1 << 52))
     return rows.where(place < share)
@@ -182,7 +207,7 @@ def _bounded(rows: DataFrame, by: Column, most: int, key: Column) -> DataFrame:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learns from a hash-random sample of the rows with a language and a letter; order of the rows does not matter."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = _bounded(rows, F.col("lang"), per_language, F.col("id")).select("text", "lang", "id")
+    rows = _bounded(rows, F.col("lang"), F.col("id"), per_language).select("text", "lang", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,18 +215,26 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             letter = has_letter(buf, off)
             out, where = [], []
             for i in np.flatnonzero(letter):
-                own, count = buf[off[i] : off[i + 1]], np.zeros(DIMENSIONS, np.float64)
-                for a in range(0, len(own), tv.PIECE):
-                    part = own[a : a + tv.PIECE]
-                    for x in grams(part, np.array([0, len(part)])):
-                        count += np.bincount(x, minlength=DIMENSIONS + 1)[:DIMENSIONS]
+                count = np.zeros(DIMENSIONS, np.float64)
+                for x in long_grams(buf[off[i] : off[i + 1]]):
+                    count += np.bincount(x, minlength=DIMENSIONS + 1)[:DIMENSIONS]
                 out.append((count / max(1.0, count.sum())).astype(np.float32).tobytes())
                 where.append(i)
             yield pa.RecordBatch.from_pydict({"lang": batch.column(1).take(pa.array(where, pa.int64())), "id": batch.column(2).cast(pa.string()).take(pa.array(where, pa.int64())), "x": pa.array(out, pa.binary())})
 
     got = sorted(rows.mapInArrow(run, "lang string, id string, x binary").collect(), key=lambda r: (r.lang, r.id, bytes(r.x)))
-    x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, DIMENSIONS)
-    return train(x, [r.lang for r in got])
+    x, names = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, DIMENSIONS), np.array([r.lang for r in got], dtype=object)
+    # every fifth row of a language, in the order of its hash, tells the floor
+    held = np.zeros(len(names), bool)
+    for name in dict.fromkeys(names.tolist()):
+        own = np.flatnonzero(names == name)
+        held[own[np.argsort([zlib.crc32(got[i].id.encode()) for i in own], kind="stable")][4::5]] = True
+    model = train(x[~held], names[~held].tolist())
+    if held.any() and model.languages:
+        best, score = model.decide(x[held].astype(np.float64) @ model.weights[:-1].astype(np.float64) + model.bias)
+        right = score[model.names(best) == names[held]]
+        model.floor = _MARGIN * float(np.sort(right)[int(_BELOW * len(right))]) if len(right) else 0.0
+    return model
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "score", keep: list[str] | None = None) -> DataFrame:
