@@ -1,14 +1,16 @@
 """Near-duplicate embeddings: hierarchical navigable small-world graphs per shard.
 
-The vectors of a label are dealt by hash into shards of bounded size, and each shard gets a layered graph once.
+The vectors of a label are dealt by hash into shards, whose size grows with the root of the label's up to a bound in
+rows and in bytes, and each shard gets a layered graph once.
 Then every shard of a label is asked for the neighbours of every vector of the label, one block of queries at a
 time: a beam walks down the layers and over the lowest one.  A query with links in a quarter of its beam may have more
 than the beam can hold, and scans the shard instead.  Queries of each block are audited against the whole shard at
 random, until AUDITED of them have links or all were; while they miss a link, the beams are doubled, up to the shard's
 size, and the block is asked again; if even that misses one, the block is compared with the whole shard.
 Two shards ask each other in one task, and a link found from either end counts for both.
-Links are confirmed by cosine in double precision.  A pair of blocks hands on the number of links of each vector and a forest
-that joins what is linked, no pairs; large-star and small-star unite the forests.
+Links are confirmed by cosine in double precision and held as one bit for each pair of two shards, so a group of
+thousands of copies costs no more than any other.  A pair of shards hands on the number of links of each vector and a
+forest that joins what is linked, no pairs; large-star and small-star unite the forests.
 
 All graph work is vectorised over the queries of a block.
 
@@ -29,8 +31,10 @@ from . import vectors
 from .components import components
 from .storage import Scratch, read
 
-#: Vectors of a shard; neighbours in the lowest layer, half of it above; beams while building and asking; audited queries with links.
-SHARD, DEGREE, BUILD_BEAM, BEAM, AUDITED, BATCH = 4096, 24, 32, 32, 48, 256
+#: Vectors of a shard at least, where there are as many; at most; bytes of its vectors at most.
+SHARD, MOST_SHARD, SHARD_BYTES = 4096, 16384, 64 << 20
+#: Neighbours in the lowest layer, half of it above; beams while building and asking; audited queries with links; queries of a step.
+DEGREE, BUILD_BEAM, BEAM, AUDITED, BATCH = 24, 32, 32, 48, 256
 
 
 def _levels(ids: np.ndarray) -> np.ndarray:
@@ -144,63 +148,96 @@ class Graph:
         return self.walk(q, start, 0, beam)
 
 
-def links(graph: Graph, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least: float, beam: int = BEAM, audited: int = AUDITED) -> tuple[np.ndarray, np.ndarray]:
-    """(query index, node index) of all pairs found with a cosine of at least ``least``; x, q: doubles.  No query meets its own id."""
+def unpacked(bits: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(bits, axis=1, count=n).astype(bool)
+
+
+def turned(bits: np.ndarray, n: int) -> np.ndarray:
+    """The packed matrix with rows and columns exchanged; n: its columns."""
+    out = np.zeros((n, -(-len(bits) // 8)), np.uint8)
+    for a in range(0, len(bits), 1024):  # a multiple of 8
+        part = np.packbits(unpacked(bits[a : a + 1024], n).T, axis=1)
+        out[:, a // 8 : a // 8 + part.shape[1]] = part
+    return out
+
+
+def links(graph: Graph, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, least: float, beam: int = BEAM, audited: int = AUDITED) -> np.ndarray:
+    """For each query a row of bits, one for each node, set where a cosine of at least ``least`` was found; x, q: doubles.  No query meets its own id."""
+    bits = np.zeros((len(q), -(-len(x) // 8)), np.uint8)
     if not len(x) or not len(q):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return bits
     long_x, long_q = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
     unit = (q / long_q[:, None]).astype(np.float32)
 
-    def whole(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = []
+    def whole(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), bits.shape[1]), np.uint8)
         for a in range(0, len(rows), 256):
             part = rows[a : a + 256]
-            r, c = np.nonzero((q[part] @ x.T) / np.outer(long_q[part], long_x) >= least)
-            out.append((part[r], c))
-        r, c = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-        own = q_ids[r] != graph.ids[c]
-        return r[own], c[own]
+            near = (q[part] @ x.T) / np.outer(long_q[part], long_x) >= least
+            out[a : a + 256] = np.packbits(near & (q_ids[part][:, None] != graph.ids[None, :]), axis=1)
+        return out
 
     order, looked, linked, told = np.random.default_rng(17).permutation(len(q)), 0, 0, []
     while looked < len(q) and linked < audited:
         part = order[looked : looked + max(1, audited, looked)]
         told.append(whole(part))
-        looked, linked = looked + len(part), linked + len(np.unique(told[-1][0]))
-    r, c = (np.concatenate([o[k] for o in told]) for k in (0, 1))
+        looked, linked = looked + len(part), linked + int(told[-1].any(axis=1).sum())
+    audit, truth = order[:looked], np.concatenate(told)
     if looked == len(q):  # the audit has met all there is
-        return r, c
-    audit, truth = order[:looked], set(zip(r.tolist(), c.tolist()))
-    asked, got = np.arange(len(q)), []
+        bits[audit] = truth
+        return bits
+    same = len(q_ids) == len(graph.ids) and bool((q_ids == graph.ids).all())
     while True:
-        got, full = [], []
-        for a in range(0, len(asked), BATCH):
-            part = asked[a : a + BATCH]
+        bits[:] = 0
+        for a in range(0, len(q), BATCH):
+            part = np.arange(a, min(len(q), a + BATCH))
             nodes, alike = graph.ask(unit[part], min(beam, len(x)))
-            r, c = np.nonzero(alike >= least - 1e-5)
             dense = ((alike >= least - 1e-5).sum(axis=1) >= max(1, nodes.shape[1] // 4)) & (nodes.shape[1] < len(x))
-            full.append(part[dense])
-            fine = ~dense[r]
-            r, c = r[fine], nodes[r[fine], c[fine]].astype(np.int64)
-            r = part[r]
+            r, c = np.nonzero((alike >= least - 1e-5) & ~dense[:, None])
+            r, c = part[r], nodes[r, c].astype(np.int64)
             real = np.einsum("ij,ij->i", q[r], x[c]) / (long_q[r] * long_x[c]) >= least
             real &= q_ids[r] != graph.ids[c]
-            got.append((r[real], c[real]))
-        full = np.concatenate(full)
-        if len(full):
-            got.append(whole(full))
-        r, c = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-        if len(r) and len(q_ids) == len(graph.ids) and (q_ids == graph.ids).all():  # the shard asks itself: a link found from one end is one of the other
-            code = np.unique(np.concatenate([r * len(x) + c, c * len(x) + r]))
-            r, c = code // len(x), code % len(x)
-        if truth <= set(zip(*(v[np.isin(r, audit)].tolist() for v in (r, c)))):
-            return r, c
+            r, c = r[real], c[real]
+            np.bitwise_or.at(bits, (r, c >> 3), (128 >> (c & 7)).astype(np.uint8))
+            if dense.any():
+                bits[part[dense]] = whole(part[dense])
+        if same:  # the shard asks itself: a link found from one end is one of the other
+            bits |= turned(bits, len(x))
+        if not (truth & ~bits[audit]).any():
+            return bits
         if beam >= len(x):  # some nodes can't be reached
             return whole(np.arange(len(q)))
         beam *= 2
 
 
+def times(bits: np.ndarray, q_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vec_id, links) of those of q_ids that have any; repeated rows are one vector, on either side."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0])) if len(ids) else np.zeros(0, np.int64)
+    each = np.zeros(len(q_ids), np.int64)
+    for a in range(0, len(q_ids), 256):
+        near = unpacked(bits[a : a + 256], len(ids))
+        each[a : a + 256] = near.sum(axis=1) if len(first) == len(ids) else np.logical_or.reduceat(near[:, order], first, axis=1).sum(axis=1)
+    owner, at = np.unique(q_ids, return_inverse=True)
+    most = np.zeros(len(owner), np.int64)
+    np.maximum.at(most, at, each)
+    return owner[most > 0], most[most > 0]
+
+
+def forest(bits: np.ndarray, q_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node joined with it), over the linked ids of both sides, a block of rows at a time."""
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a in range(0, len(q_ids), 256):
+        r, c = np.nonzero(unpacked(bits[a : a + 256], len(ids)))
+        if len(r):
+            held.append(_forest(q_ids[a + r], ids[c]))
+    return _forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node joined with it) over the links a-b of ids."""
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     u, v = at[: len(a)], at[len(a) :]
     root = np.arange(len(nodes))
@@ -221,7 +258,8 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     scratch = Scratch(spark, "hnsw")
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).cast("string").alias("label"))
     packed = scratch.table(vectors.pack(rows.where("vec_id is not null and label is not null"), ["vec_id", "label"], "v"))
-    counts = packed.groupBy("label", "dim").count().withColumn("shards", F.ceil(F.col("count") / shard).cast("int")).drop("count")
+    size = F.greatest(F.lit(1), F.least(F.greatest(F.sqrt("count"), F.lit(float(shard))), F.lit(float(MOST_SHARD)), F.lit(float(SHARD_BYTES)) / (8 * F.col("dim"))))
+    counts = packed.groupBy("label", "dim").count().withColumn("shards", F.ceil(F.col("count") / size).cast("int")).drop("count")
     dealt = packed.join(counts, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int"))
 
     def build(part: pa.Table) -> pa.Table:
@@ -244,30 +282,20 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
         graph.layers = [np.frombuffer(y, np.int32).reshape(len(ids), -1) for y in layers]
         return graph
 
-    def times(r: np.ndarray, c: np.ndarray, q_ids: np.ndarray, ids: np.ndarray) -> dict[int, int]:
-        """Links of each vec_id of q_ids; repeated rows are one vector, on either side."""
-        each = np.unique(np.stack([r, np.unique(ids, return_inverse=True)[1][c]], axis=1), axis=0)[:, 0]
-        owner, at = np.unique(q_ids, return_inverse=True)
-        most = np.zeros(len(owner), np.int64)
-        np.maximum.at(most, at, np.bincount(each, minlength=len(q_ids)))
-        return dict(zip(owner.tolist(), most.tolist()))
-
     def meet(part: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64),) * 3]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for i in range(len(part)):
             row = {c: part[c][i].as_py() for c in part.column_names}
             ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
             x, q = np.frombuffer(row["x"]).reshape(len(ids), -1), np.frombuffer(row["q_x"]).reshape(len(q_ids), -1)
-            r, c = links(graph_of(ids, x, row["layers"], row["entry"]), x, q_ids, q, least)
-            count = {}
+            bits = links(graph_of(ids, x, row["layers"], row["entry"]), x, q_ids, q, least)
             if row["shard"] != row["block"]:  # and from the other end
-                back, to = links(graph_of(q_ids, q, row["q_layers"], row["q_entry"]), q, ids, x, least)
-                code = np.unique(np.concatenate([r * len(ids) + c, to * len(ids) + back]))
-                r, c = code // len(ids), code % len(ids)
-                count = times(c, r, ids, q_ids)
-            count |= times(r, c, q_ids, ids)
-            node, root = _forest(q_ids[r], ids[c])
-            out.append((node, root, np.array([count.get(v, 0) for v in node.tolist()], np.int64)))
+                bits |= turned(links(graph_of(q_ids, q, row["q_layers"], row["q_entry"]), q, ids, x, least), len(q_ids))
+            node, root = forest(bits, q_ids, ids)
+            n = np.zeros(len(node), np.int64)
+            for owner, most in [times(bits, q_ids, ids)] + ([times(turned(bits, len(ids)), ids, q_ids)] if row["shard"] != row["block"] else []):
+                np.maximum.at(n, np.searchsorted(node, owner), most)
+            out.append((node, root, n))
         node, root, n = (np.concatenate([o[k] for o in out]) for k in range(3))
         return pa.table({"vec_id": node, "root": root, "n": n})
 

@@ -96,8 +96,37 @@ def test_links_to_a_node_without_a_way():
         layer[np.isin(layer, lost)] = -1
     want = unit @ unit.T >= 0.98
     np.fill_diagonal(want, False)
-    r, c = hnsw.links(graph, x, ids, x, 0.98)
-    assert len(r) == want.sum() > 0 and want[r, c].all()
+    found = hnsw.unpacked(hnsw.links(graph, x, ids, x, 0.98), len(x))
+    assert found.sum() > 0 and (found == want).all()
+
+
+def test_packed_matrices():
+    rng = np.random.default_rng(1)
+    for r, c in ((1, 1), (9, 30), (1030, 17), (2, 2050)):
+        m = rng.random((r, c)) < 0.3
+        assert (hnsw.unpacked(hnsw.turned(np.packbits(m, axis=1), c), r) == m.T).all()
+
+
+def test_a_large_group_of_copies(spark):
+    """Thousands of near copies in two shards: every pair is a link."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4600, 16))
+    x[:3000] = x[0] + 0.001 * rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(df).collect()}
+    assert all(got[i] == (2999, 0) for i in range(3000))
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4 if i % 3 else 7).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("query_id", F.lit("clash")).withColumn("score", F.lit(1)).withColumn("raw", F.lit("x"))
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, 90, 20):
+        other = [(-float(np.dot(v, rows[q][1])), i) for i, v in rows if i != q and len(v) == len(rows[q][1])]
+        assert [v for _, v in sorted(got[q])] == [i for _, i in sorted(other)[:3]]
 
 
 def test_sparse_pairs_over_shards(spark):
