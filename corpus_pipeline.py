@@ -4,9 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 Parquet in the shared folder and reads it again for the next.  All stages but the last return the columns of
 ``documents``.  Models learn from the rows that the operators' own queries learn from.
 
-Defined results: a document without a letter has no language and goes, one with a text too short or too odd to be
-sure of stays; a document that repeats another's shingles goes unless its doc_id is the smallest; rows without doc_id
-are never near-duplicates; a mix repeats documents by epoch.  An empty table passes through.
+Defined results: a document goes if it has no letter, or if the language model is less sure of it than of any text
+that it was calibrated on; where no language can be learnt all stay.  Of a group of near-duplicates one row stays, of the
+smallest doc_id; rows of one doc_id are documents of their own, and of literally repeated rows one stays, those without
+words apart; rows without doc_id are never near-duplicates.  A mix repeats documents by epoch.  An empty table passes
+through.
 """
 
 from __future__ import annotations
@@ -26,17 +28,29 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter, or all if there is no language to learn."""
+    """Documents whose language the model is sure enough of, or all if there is no language to learn."""
     model = langid.fit(docs.where(langid.fold_of(4) != 2))
     if not model.languages:
         return docs
-    return langid.identify(docs, model, lang="_lang", score="_sure").where("_lang <> 'und'").select(*docs.columns)
+    return langid.identify(docs, model, lang="_lang", score="_sure").where((F.col("_lang") != "und") & (F.col("_sure") >= model.floor)).select(*docs.columns)
 
 
 def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, 80 in 100."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: five words, 80 in 100."""
+    scratch = Scratch(spark, "kept")
+    found = scratch.table(minhash.near_duplicates(docs).where("doc_id is not null and n_shingles > 0").select("doc_id", "key", "component_id", "kept"))
+    # a component keeps one row; where rows repeat its doc_id, the one whose text has the smallest hash
+    several = found.where("kept").groupBy("component_id").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    several = scratch.table(several)
+    more = found.where("kept").join(several, "component_id").where("key <> first")
+    gone = found.where("not kept").select("doc_id", "key").unionByName(more.select("doc_id", "key"))
+    rows = docs.withColumn("_key", F.xxhash64("text"))
+    left = rows.join(gone.select("doc_id", F.col("key").alias("_key")).distinct(), ["doc_id", "_key"], "left_anti")
+    if several.isEmpty():
+        return left.select(*docs.columns)
+    repeated = several.select(F.col("component_id").alias("doc_id"), F.col("first").alias("_key"))
+    once = left.join(repeated, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+    return left.join(repeated, ["doc_id", "_key"], "left_anti").unionByName(once).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
