@@ -200,7 +200,8 @@ def near_duplicates(
 
     wanted = buckets.where("members > 2").select("node").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     wanted = scratch.table(reps.select("node", F.col("rep").alias("doc_id"), F.col("rep_key").alias("key")).join(wanted, "node", "left_semi"))
-    texts = scratch.table(docs.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("node", "text"))
+    # wanted grows with the documents: dealt by key at every size, and each key's texts are together
+    texts = scratch.table(docs.join(wanted.hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("node", "text"))
     links = scratch.table(_confirmed(pairs, texts, k, percent, scratch))
     linked = components(links, scratch, "a", "b")
 
