@@ -35,7 +35,7 @@ DIMENSIONS, GRAMS = 1 << 13, (2, 3, 4)
 #: The bound on the driver's memory is MOST_ROWS * DIMENSIONS * 4 bytes.
 PER_LANGUAGE, MOST_ROWS, MOST_LANGUAGES = 400, 4000, 200
 #: Of the held-back rows, the share that may lie below the floor, before a margin is taken off it.
-_BELOW, _MARGIN = 0.0, 0.9
+_BELOW, _MARGIN = 0.0, 0.7
 _STEEP = 4.0
 
 
