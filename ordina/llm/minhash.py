@@ -172,7 +172,9 @@ def _left_over(active: DataFrame, texts: DataFrame, k: int, percent: int, scratc
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4
 ) -> DataFrame:
-    """doc_id, key (hash of the text), n_shingles, component_id, kept: one row for each document; see the module for the method.
+    """doc_id, key (hash of the text), class, n_shingles, component_id, kept: one row for each document; see the module for the method.
+
+    class: the component's own number, where rows of one doc_id lead several; null without a set.
 
     k: words of a shingle; percent: the least Jaccard similarity of a link, in hundredths.
     """
@@ -217,12 +219,14 @@ def near_duplicates(
 
     classes = reps.join(linked, "node", "left").select("fp1", "fp2", "n", F.coalesce("component", "node").alias("class"))
     if shared:
-        classes = classes.join(reps.select(F.col("node").alias("class"), "rep"), "class").select("fp1", "fp2", "n", F.col("rep").alias("class"))
+        classes = classes.join(reps.select(F.col("node").alias("class"), "rep"), "class")
+    else:
+        classes = classes.withColumn("rep", F.col("class"))
     classes = scratch.table(classes)
     scratch.only(signed, classes)
     found = signed.select("doc_id", "key", "n", "fp1", "fp2").join(classes, ["fp1", "fp2", "n"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
-    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+    return found.select("doc_id", "key", "class", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
