@@ -38,17 +38,17 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: five words, 80 in 100."""
     scratch = Scratch(spark, "kept")
-    found = scratch.table(minhash.near_duplicates(docs).where("doc_id is not null and n_shingles > 0").select("doc_id", "key", "component_id", "kept"))
+    found = scratch.table(minhash.near_duplicates(docs).where("doc_id is not null and n_shingles > 0").select("doc_id", "key", "class", "kept"))
     # a component keeps one row; where rows repeat its doc_id, the one whose text has the smallest hash
-    several = found.where("kept").groupBy("component_id").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    several = found.where("kept").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     several = scratch.table(several)
-    more = found.where("kept").join(several, "component_id").where("key <> first")
+    more = found.where("kept").join(several.drop("doc_id"), "class").where("key <> first")
     gone = found.where("not kept").select("doc_id", "key").unionByName(more.select("doc_id", "key"))
     rows = docs.withColumn("_key", F.xxhash64("text"))
     left = rows.join(gone.select("doc_id", F.col("key").alias("_key")).distinct(), ["doc_id", "_key"], "left_anti")
     if several.isEmpty():
         return left.select(*docs.columns)
-    repeated = several.select(F.col("component_id").alias("doc_id"), F.col("first").alias("_key"))
+    repeated = several.select("doc_id", F.col("first").alias("_key"))
     once = left.join(repeated, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
     return left.join(repeated, ["doc_id", "_key"], "left_anti").unionByName(once).select(*docs.columns)
 
