@@ -35,15 +35,25 @@ _NO_ID = -(1 << 63)  # stands for a null doc_id in .doc
 
 
 @lru_cache(2)
-def library_encoder(path: str) -> bpe.Encoder:
-    """Pieces are encoded by the public tokenizers library; equal pieces of a worker only once."""
+def library(path: str):
+    """The public tokenizers library's tokenizer, on one thread as a task has one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return bpe.Encoder(bpe.Merges(path), lambda texts: [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+    return tok
+
+
+def ids_with_end(tok, texts: list[str], end_id: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the whole texts as the library gives them, each text's end id after them; offsets)."""
+    found = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    off = np.concatenate([[0], np.cumsum([len(ids) + 1 for ids in found])]).astype(np.int64)
+    out = np.full(off[-1], end_id, kind)
+    for at, ids in zip(off, found):
+        out[at : at + len(ids)] = ids
+    return out, off
 
 
 def local_path(path: str) -> str:
@@ -62,18 +72,17 @@ def write(df: DataFrame, root: str, doc_id: str = "doc_id", text: str = "text",
     rows = rows.repartitionByRange(shards, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, ctx = library_encoder(path), TaskContext.get()
-        kind = np.dtype("<u2" if len(enc.merges.length) <= 1 << 16 and end_id < 1 << 16 else "<u4")
+        tok, ctx = library(path), TaskContext.get()
+        kind = np.dtype("<u2" if max(end_id, *tok.get_vocab().values()) < 1 << 16 else "<u4")
         name, part = f"{folder}/{ctx.partitionId():06d}", f".{ctx.taskAttemptId()}"
         docs = ids = 0
         with open(f"{name}.bin{part}", "wb") as fb, open(f"{name}.idx{part}", "wb") as fi, open(f"{name}.doc{part}", "wb") as fd:
             fi.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
                 for rows, texts in bpe.text_slices(batch, "text"):
-                    got, off, _, _ = enc.checked(texts)
-                    out = np.insert(got, off[1:], end_id).astype(kind)
+                    out, off = ids_with_end(tok, texts, end_id, kind)
                     fb.write(out.tobytes())
-                    fi.write((ids + off[1:] + np.arange(1, len(off))).astype("<i8").tobytes())
+                    fi.write((ids + off[1:]).astype("<i8").tobytes())
                     fd.write(np.asarray(rows.column(0).fill_null(_NO_ID)).astype("<i8").tobytes())
                     docs, ids = docs + len(texts), ids + len(out)
         for end in (".bin", ".idx", ".doc"):
