@@ -22,7 +22,7 @@ class Rec:
 
 
 def test_records(spark, tmp_path):
-    rows = [{"category": f"cat_{i % 3}", "extra": {"a": [1]}, "id": i, "amount": (i % 200) * 1.5} for i in range(50)]
+    rows = [{"category": f"shelf {i % 4}", "extra": {"a": [1]}, "id": i, "amount": i * 0.75 + 2} for i in range(50)]
     (tmp_path / "a.json").write_text("\n".join(map(json.dumps, rows)))
     q = ndjson.files(spark, str(tmp_path), Rec)
     assert [r.id for r in q.to_list()] == list(range(50))
@@ -47,7 +47,7 @@ def test_lines(spark, tmp_path):
 def folder(spark, tmp_path):
     """A stream of four files with runs that go on over files, and an end row."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    chunks = [[0, 1], [10, 11], [12, 20], [21, 30, 31]]
+    chunks = [[3, 5, 9], [14, 40], [41, 47, 62], [65]]
     n = 0
     for i, chunk in enumerate(chunks):
         lines = []
