@@ -346,14 +346,15 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterat
 
 
 def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
-    old = [n for n in batch.schema.names if n not in new]
+    taken = {n.lower() for n in new}
+    old = [n for n in batch.schema.names if n.lower() not in taken]
     return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in old), *new.values()], names=[*old, *new])
 
 
 def _schema(df: DataFrame, new: list[tuple[str, T.DataType]]) -> T.StructType:
     small_batches(df.sparkSession)
-    names = {n for n, _ in new}
-    return T.StructType([f for f in df.schema.fields if f.name not in names] + [T.StructField(n, t) for n, t in new])
+    names = {n.lower() for n, _ in new}
+    return T.StructType([f for f in df.schema.fields if f.name.lower() not in names] + [T.StructField(n, t) for n, t in new])
 
 
 def binary(raw: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -250,8 +250,8 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang: str
 def by_slices(df: DataFrame, text: str, work, new: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """The columns that ``work`` makes of (bytes, offsets), added a few megabytes of text at a time."""
     small_batches(df.sparkSession)
-    names = {f.name for f in new}
-    old = [f for f in df.schema.fields if f.name not in names and (keep is None or f.name in keep)]
+    names = {f.name.lower() for f in new}
+    old = [f for f in df.schema.fields if f.name.lower() not in names and (keep is None or f.name in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans import ordinal
-from .storage import Scratch, read
+from .storage import Scratch, free, read
 
 WORDS = r"[^\x20\x09-\x0D]+"
 RANGE_ROWS = 4096
@@ -80,11 +80,12 @@ def materialise(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text:
     Same columns as ``docs``; documents that take no words go; rows equal in doc_id and size all take what the
     most taking of them does.
     """
-    size, taken = F.col("_size"), F.col("_taken")
-    plan = mixed.where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
-    rows = docs.join(plan, docs[doc_id].eqNullSafe(F.col("_id")) & (F.regexp_count(docs[text], F.lit(WORDS)) == size))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))))
-    words = F.least(size, taken - (F.col("_copy") - 1) * size).cast("int")
+    id_, size_, taken_, copy_ = free(docs, "_id", "_size", "_taken", "_copy")
+    size, taken = F.col(size_), F.col(taken_)
+    plan = mixed.where("taken > 0").groupBy(F.col("doc_id").alias(id_), F.col("size").alias(size_)).agg(F.max("taken").alias(taken_))
+    rows = docs.join(plan, docs[doc_id].eqNullSafe(F.col(id_)) & (F.regexp_count(docs[text], F.lit(WORDS)) == size))
+    rows = rows.withColumn(copy_, F.explode(F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))))
+    words = F.least(size, taken - (F.col(copy_) - 1) * size).cast("int")
     # cut behind each word, so that the pieces put together are the text as it stands
     cut = F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), words), "")
     return rows.withColumn(text, F.when(words == size, F.col(text)).otherwise(cut)).select(*docs.columns)

@@ -76,6 +76,17 @@ class Scratch:
             pass
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names`` as columns to add for a while: each with underscores before it until no column of ``df`` is called that, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
