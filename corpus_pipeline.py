@@ -8,7 +8,7 @@ Defined results: a document goes if it has no letter, or if the language model i
 that it was calibrated on; where no language can be learnt all stay.  Of a group of near-duplicates one row stays, of the
 smallest doc_id; rows of one doc_id are documents of their own, and of literally repeated rows one stays, those without
 words apart; rows without doc_id are never near-duplicates.  A mix repeats documents by epoch.  An empty table passes
-through.
+through.  Extra columns of any name are kept as they are.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordina.llm import bpe, langid, minhash, mixing, toxicity
-from ordina.llm.storage import Scratch, read
+from ordina.llm.storage import Scratch, free, read
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below the calibrated threshold."""
     labels = read(spark, sf_dir, "labels")
     model = toxicity.fit(docs.where(langid.fold_of(3) != 1), labels.where(langid.fold_of(3) != 1))
-    return toxicity.classify(docs, model, score="_toxic").where(F.col("_toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    (toxic,) = free(docs, "_toxic")
+    return toxicity.classify(docs, model, score=toxic).where(F.col(toxic) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,8 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = langid.fit(docs.where(langid.fold_of(4) != 2))
     if not model.languages:
         return docs
-    return langid.identify(docs, model, lang="_lang", score="_sure").where((F.col("_lang") != "und") & (F.col("_sure") >= model.floor)).select(*docs.columns)
+    lang, sure = free(docs, "_lang", "_sure")
+    return langid.identify(docs, model, lang=lang, score=sure).where((F.col(lang) != "und") & (F.col(sure) >= model.floor)).select(*docs.columns)
 
 
 def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +46,14 @@ def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     several = scratch.table(several)
     more = found.where("kept").join(several.drop("doc_id"), "class").where("key <> first")
     gone = found.where("not kept").select("doc_id", "key").unionByName(more.select("doc_id", "key"))
-    rows = docs.withColumn("_key", F.xxhash64("text"))
-    left = rows.join(gone.select("doc_id", F.col("key").alias("_key")).distinct(), ["doc_id", "_key"], "left_anti")
+    (key,) = free(docs, "_key")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    left = rows.join(gone.select("doc_id", F.col("key").alias(key)).distinct(), ["doc_id", key], "left_anti")
     if several.isEmpty():
         return left.select(*docs.columns)
-    repeated = several.select("doc_id", F.col("first").alias("_key"))
-    once = left.join(repeated, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
-    return left.join(repeated, ["doc_id", "_key"], "left_anti").unionByName(once).select(*docs.columns)
+    repeated = several.select("doc_id", F.col("first").alias(key))
+    once = left.join(repeated, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return left.join(repeated, ["doc_id", key], "left_anti").unionByName(once).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
