@@ -171,3 +171,16 @@ def test_pipeline_without_languages(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.with_language(spark, docs, SF).count() == docs.count() > 0
+
+
+def test_training_rows_stay_off_the_driver(spark, monkeypatch):
+    """The driver gets the trained models: a row each, no row of a sample."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    collect, seen = DataFrame.collect, []
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append((self.columns, collect(self))) or seen[-1][1])
+    model = toxicity.fit(docs, labels)
+    assert model.net is not None and len(model.place) > 1 and len(model.languages.languages) == 4
+    large = [(columns, len(rows)) for columns, rows in seen if len(rows) > 4]  # counts by language
+    assert not large and not any("x" in columns or "bucket" in columns for columns, _ in seen)
